@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import simhash
+from quillon.llm import langid, quality, simhash
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: (doc_id, lang_pred, bits_per_byte, margin_bits)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: (doc_id, probability, accepted)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.scores(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op6_quality": op6_quality}
 #: SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
