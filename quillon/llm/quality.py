@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import U64, blob, chunks, prepare
 
-WIDTH, FILTERS, BLOCK, HIDDEN = 6, 32, 512, 16
+WIDTH, FILTERS, BLOCK, HIDDEN = 6, 48, 512, 16
 #: Labelled rows of each class (the bound of the training sample), passes over them, and the least probability of an accepted text.
-SAMPLE, EPOCHS, THRESHOLD, SEED = 1500, 15, 0.5, 7
+SAMPLE, EPOCHS, THRESHOLD, SEED = 1500, 10, 0.6, 7
 
 
 def blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ class Network:
 
 
 def seeds(data: np.ndarray, offsets: np.ndarray, reject: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """First filters: byte strings of 3 and 5 bytes, greedily chosen so that they cover rejected texts and few others; a quarter stay random."""
+    """First filters: byte strings of 3 and 5 bytes, greedily chosen so that they cover rejected texts, each several times, and few others; a quarter stay random."""
     filters = rng.normal(scale=0.05, size=(WIDTH, 256, FILTERS))
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     grams, docs = [], []
@@ -127,23 +127,19 @@ def seeds(data: np.ndarray, offsets: np.ndarray, reject: np.ndarray, rng: np.ran
     gram, doc = np.concatenate(grams), np.concatenate(docs)
     kinds, at = np.unique(gram, return_inverse=True)
     good = np.bincount(at, ~reject[doc], len(kinds)) / max(1, (~reject).sum())
-    open_ = reject.copy()
+    worth = reject / max(1, reject.sum())
     order = np.argsort(at, kind="stable")
     edge = np.searchsorted(at[order], np.arange(len(kinds) + 1))
     chosen: list[int] = []
-    for _ in range(FILTERS * 3 // 4):
-        gain = np.bincount(at, open_[doc], len(kinds)) / max(1, reject.sum()) - 2 * good
+    while len(chosen) < FILTERS * 3 // 4 and len(kinds):
+        gain = np.bincount(at, worth[doc], len(kinds)) - 2 * good
+        gain[chosen] = -1
         best = int(gain.argmax())
-        if gain[best] <= 0.002:
-            if open_.sum() == reject.sum():
-                break
-            open_ = reject.copy()  # all covered: cover again, with others
-            open_[np.isin(np.arange(len(open_)), doc[np.isin(at, chosen)])] &= rng.random((np.isin(np.arange(len(open_)), doc[np.isin(at, chosen)])).sum()) < 0.5
-            gain[chosen] = -1
-            best = int(gain.argmax())
+        if gain[best] <= 0:
+            break
         chosen.append(best)
-        open_[doc[order[edge[best] : edge[best + 1]]]] = False
-    for f, g in enumerate(dict.fromkeys(chosen)):
+        worth[doc[order[edge[best] : edge[best + 1]]]] *= 0.35  # what is covered counts less
+    for f, g in enumerate(chosen):
         k = int(kinds[g] >> U64(40))
         filters[:, :, f] = 0
         for j in range(k):
