@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, decontaminate, quality, secrets, simhash
+from quillon.llm.common import own_folder
+
 
-from quillon.llm import simhash
-from quillon.llm.common import shared_dir
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled ones among docs.  Null and empty texts go."""
+    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the least id."""
     return simhash.deduplicate(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-#: The stages hash, learn and tokenise, which SQL can't express; tests hold them against brute-force versions.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mask; n_chars follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents."""
+    return bpe.encode(docs)
+
+
+STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("tokens", tokens)]
+#: The stages learn, hash and tokenise, which SQL can't express; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what lies between them is in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    where = own_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
         docs = spark.read.parquet(f"{where}/{k}")

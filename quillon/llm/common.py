@@ -11,7 +11,9 @@ Conventions that hold for every operator:
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,3 +149,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = sign
     raise RuntimeError(f"components: no end after {most} rounds")
+
+
+_folders: list[tuple] = []
+
+
+def _sweep() -> None:
+    """Remove the tables that this session wrote between jobs."""
+    for path, conf in _folders:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # noqa: BLE001, S110 - the JVM may have gone before us
+            pass
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when this session's Python ends."""
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_sweep)
+    sc = spark.sparkContext
+    _folders.append((sc._jvm.org.apache.hadoop.fs.Path(where), sc._jsc.hadoopConfiguration()))
+    return where
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again: no lineage, and columns can be pruned."""
+    where = own_folder(df.sparkSession, "table")
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)

@@ -29,7 +29,7 @@ from quillon.llm.common import U64, blob, chunks, prepare
 
 WIDTH, FILTERS, BLOCK, HIDDEN = 6, 48, 512, 16
 #: Labelled rows of each class (the bound of the training sample), passes over them, and the least probability of an accepted text.
-SAMPLE, EPOCHS, THRESHOLD, SEED = 1500, 10, 0.6, 7
+SAMPLE, EPOCHS, THRESHOLD, SEED = 1500, 14, 0.6, 7
 
 
 def blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +58,9 @@ class Network:
         """Filter responses at every position; beyond the end stand zero bytes."""
         padded = np.r_[data, np.zeros(WIDTH, np.uint8)].astype(np.int32)
         two = padded[:-1] << 8 | padded[1:]
-        out = self.pairs[0][two[: len(data)]]
+        out = self.pairs[0].take(two[: len(data)], 0)
         for j in range(1, WIDTH // 2):
-            out += self.pairs[j][two[2 * j : 2 * j + len(data)]]
+            out += self.pairs[j].take(two[2 * j : 2 * j + len(data)], 0)
         return out
 
     def head(self, x: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ class Network:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of each row; empty rows have 0."""
         out = np.zeros(len(offsets) - 1)
-        for a, b in chunks(offsets, 1 << 18):
+        for a, b in chunks(offsets, 1 << 15):
             own = offsets[a : b + 1] - offsets[a]
             starts, row = blocks(own)
             if not len(row):
@@ -112,26 +112,45 @@ class Network:
 def seeds(data: np.ndarray, offsets: np.ndarray, reject: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """First filters: byte strings of 3 and 5 bytes, greedily chosen so that they cover rejected texts, each several times, and few others; a quarter stay random."""
     filters = rng.normal(scale=0.05, size=(WIDTH, 256, FILTERS))
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    grams, docs = [], []
-    for k in (3, 5):
-        key = np.zeros(len(data), U64)
-        for j in range(k):
-            key[: len(data) - j] |= data[j:].astype(U64) << U64(8 * j)
-        fits = np.flatnonzero(np.arange(len(data)) + k <= np.repeat(offsets[1:], np.diff(offsets)))
-        for a in range(0, len(offsets) - 1, 64):  # distinct grams of each text, a few texts at a time
-            at = fits[(fits >= offsets[a]) & (fits < offsets[min(a + 64, len(offsets) - 1)])]
-            pair = np.unique((key[at] | U64(k) << U64(40)) + ((doc[at] - a).astype(U64) << U64(48)))
-            grams.append(pair & U64((1 << 48) - 1))
-            docs.append((pair >> U64(48)).astype(np.int32) + a)
-    gram, doc = np.concatenate(grams), np.concatenate(docs)
-    kinds, at = np.unique(gram, return_inverse=True)
+
+    def pairs(a: int, b: int, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct grams of texts [a, b) and their texts; of the given kinds only."""
+        part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        doc = np.repeat(np.arange(b - a), np.diff(own))
+        room = own[1:][doc] - np.arange(len(part))
+        key = np.zeros(len(part), U64)
+        found = []
+        for k in range(1, 6):
+            key[: len(part) - k + 1] |= part[k - 1 :].astype(U64) << U64(8 * k - 8)
+            if k in (3, 5):
+                gram = (key | U64(k) << U64(40))[room >= k]
+                of = doc[room >= k]
+                if kinds is not None:
+                    known = kinds[np.minimum(np.searchsorted(kinds, gram), len(kinds) - 1)] == gram
+                    gram, of = gram[known], of[known]
+                found.append(np.unique(gram + (of.astype(U64) << U64(48))))
+        both = np.concatenate(found)
+        return both & U64((1 << 48) - 1), (both >> U64(48)).astype(np.int64) + a
+
+    lots = [(a, min(a + 64, len(reject))) for a in range(0, len(reject), 64)]
+    # grams of enough rejected texts, counted lot by lot
+    kinds, times = np.zeros(0, U64), np.zeros(0, np.int64)
+    for a, b in lots:
+        gram, of = pairs(a, b, None)
+        new, n = np.unique(gram[reject[of]], return_counts=True)
+        kinds, at = np.unique(np.concatenate([kinds, new]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([times, n]), len(kinds)).astype(np.int64)
+    kinds = kinds[times >= max(2, 0.002 * reject.sum())]
+    if not len(kinds):
+        return filters
+    found = [pairs(a, b, kinds) for a, b in lots]
+    at, doc = np.searchsorted(kinds, np.concatenate([g for g, _ in found])), np.concatenate([d for _, d in found])
     good = np.bincount(at, ~reject[doc], len(kinds)) / max(1, (~reject).sum())
     worth = reject / max(1, reject.sum())
     order = np.argsort(at, kind="stable")
     edge = np.searchsorted(at[order], np.arange(len(kinds) + 1))
     chosen: list[int] = []
-    while len(chosen) < FILTERS * 3 // 4 and len(kinds):
+    while len(chosen) < min(FILTERS * 3 // 4, len(kinds)):
         gain = np.bincount(at, worth[doc], len(kinds)) - 2 * good
         gain[chosen] = -1
         best = int(gain.argmax())
@@ -187,13 +206,18 @@ def gradient(net: Network, texts: list[bytes], keep: np.ndarray, weight: np.ndar
         own = np.zeros(count[i] * BLOCK + WIDTH, np.uint8)
         own[: size[i]] = np.frombuffer(t, np.uint8)
         padded[base[i] : base[i + 1]] = np.lib.stride_tricks.sliding_window_view(own, BLOCK + WIDTH)[::BLOCK][: count[i]]
-    out = p["filters"][0][padded[:, :BLOCK]]
-    for j in range(1, WIDTH):
-        out += p["filters"][j][padded[:, j : j + BLOCK]]
-    for i in range(len(texts)):  # positions beyond a text's end never win
-        out[base[i + 1] - 1, size[i] - (count[i] - 1) * BLOCK :] = -np.inf
-    where = out.argmax(1)
-    top = np.take_along_axis(out, where[:, None, :], 1)[:, 0]
+    room = np.full(count.sum(), BLOCK)
+    room[base[1:] - 1] = size - (count - 1) * BLOCK
+    top, where = np.empty((len(padded), n), np.float32), np.empty((len(padded), n), np.int64)
+    for c in range(0, len(padded), 32):  # few blocks at a time stay in the processor's cache
+        lot = padded[c : c + 32].astype(np.int64)
+        out = p["filters"][0].take(lot[:, :BLOCK], 0)
+        for j in range(1, WIDTH):
+            out += p["filters"][j].take(lot[:, j : j + BLOCK], 0)
+        for i in np.flatnonzero(room[c : c + 32] < BLOCK):  # positions beyond a text's end never win
+            out[i, room[c + i] :] = -np.inf
+        where[c : c + 32] = out.argmax(1)
+        top[c : c + 32] = np.take_along_axis(out, where[c : c + 32, None, :], 1)[:, 0]
     row = np.repeat(np.arange(len(texts)), count)
     x = net.features(top, row)
     h = x @ p["hidden"] + p["hidden_bias"]
