@@ -145,7 +145,7 @@ def windows(mel: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     for i, (k, w, s, e) in enumerate(spans):
         out[i, : e - s] = mel[s:e]
         rows.append((k, w, s * HOP / RATE, ((e - 1) * HOP + FRAME) / RATE, e - s, round(float(db[s:e].max()), 3)))
-    return out.reshape(len(spans), -1), rows
+    return out.reshape(len(spans), WINDOW * MELS), rows
 
 
 def clips(column: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple], np.ndarray]]:

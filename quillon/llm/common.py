@@ -132,7 +132,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """Connected components: (node, root) for every node of an edge, root being the least node there.
+    """Connected components: (node, root) for every node of an edge but the roots, a root being the least node of its component.
 
     Alternating large-star and small-star steps, each one shuffle; lineage is cut in the shared folder after
     every round.  Null ends and loops are dropped.  Raises if ``most`` rounds don't suffice."""

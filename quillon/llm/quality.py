@@ -64,8 +64,9 @@ class Network:
         return out
 
     def head(self, x: np.ndarray) -> np.ndarray:
-        h = np.maximum(x @ self.p["hidden"] + self.p["hidden_bias"], 0)
-        return 1 / (1 + np.exp(-np.clip(h @ self.p["out"] + self.p["out_bias"], -30, 30)))
+        # sums in an order that doesn't depend on how many rows there are, so that equal texts score alike
+        h = np.maximum((x[:, :, None] * self.p["hidden"]).sum(1) + self.p["hidden_bias"], 0)
+        return 1 / (1 + np.exp(-np.clip((h * self.p["out"]).sum(1, dtype=np.float64) + self.p["out_bias"], -30, 30)))
 
     def features(self, top: np.ndarray, row: np.ndarray) -> np.ndarray:
         """From the blocks' maxima, rows ascending: per row the greatest and the mean over its chunks of two blocks."""
@@ -102,10 +103,10 @@ class Network:
             near = np.unique((ends[:, None] - np.arange(1, WIDTH)).ravel())
             near = near[near >= 0]
             room = offsets[np.searchsorted(offsets, near, "right")] - near
-            fixed = np.zeros((len(near), out.shape[1]), np.float32)
-            for j in range(WIDTH):
-                fixed += self.p["filters"][j][np.where(j < room, data[np.minimum(near + j, len(data) - 1)], 0)]
-            out[near] = fixed
+            byte = [np.where(j < room, data[np.minimum(near + j, len(data) - 1)], 0).astype(np.int32) for j in range(WIDTH)]
+            out[near] = self.pairs[0][byte[0] << 8 | byte[1]]
+            for j in range(2, WIDTH, 2):  # in the same order as elsewhere, so that equal texts score alike
+                out[near] += self.pairs[j // 2][byte[j] << 8 | byte[j + 1]]
         return out
 
 
@@ -120,7 +121,7 @@ def seeds(data: np.ndarray, offsets: np.ndarray, reject: np.ndarray, rng: np.ran
         room = own[1:][doc] - np.arange(len(part))
         key = np.zeros(len(part), U64)
         found = []
-        for k in range(1, 6):
+        for k in range(1, min(5, len(part)) + 1):
             key[: len(part) - k + 1] |= part[k - 1 :].astype(U64) << U64(8 * k - 8)
             if k in (3, 5):
                 gram = (key | U64(k) << U64(40))[room >= k]
@@ -129,7 +130,7 @@ def seeds(data: np.ndarray, offsets: np.ndarray, reject: np.ndarray, rng: np.ran
                     known = kinds[np.minimum(np.searchsorted(kinds, gram), len(kinds) - 1)] == gram
                     gram, of = gram[known], of[known]
                 found.append(np.unique(gram + (of.astype(U64) << U64(48))))
-        both = np.concatenate(found)
+        both = np.concatenate([np.zeros(0, U64), *found])
         return both & U64((1 << 48) - 1), (both >> U64(48)).astype(np.int64) + a
 
     lots = [(a, min(a + 64, len(reject))) for a in range(0, len(reject), 64)]
@@ -269,7 +270,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text <> ''").distinct().collect()
     rows.sort(key=lambda r: (r.id, r.text))
     reject = np.array([chosen[r.id] for r in rows], bool)
-    return fit([r.text.encode() for r in rows], reject, epochs, seed) if reject.any() and not reject.all() else None
+    texts = [r.text.encode() for r in rows]
+    del rows
+    return fit(texts, reject, epochs, seed) if reject.any() and not reject.all() else None
 
 
 def scores(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

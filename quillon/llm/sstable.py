@@ -43,6 +43,7 @@ from quillon.llm.common import U64, mix, own_folder, prepare
 
 #: Bytes of a block before compression; Bloom bits a key and probes (1 % false positives); input bytes of a shard.
 BLOCK, BITS, HASHES, SHARD_BYTES = 64 << 10, 10, 7, 32 << 20
+UNKNOWN = 1 << 52
 MAGIC, FOOTER = b"QSST0001", struct.Struct("<QQQQQ8s")
 INDEX = np.dtype([("first", "<i8"), ("last", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("entries", "<u4")])
 MANIFEST = "shard int, file string, first_key long, last_key long, entries long, blocks long, bytes long"
@@ -129,6 +130,8 @@ class Writer:
         tail = index + bloom.tobytes() + FOOTER.pack(self.at, len(index), len(bloom), bits, len(self.keys), MAGIC)
         self.out.write(tail)
         self.out.close()
+        if self.system.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.system.delete_file(self.path)  # an attempt before this one got so far; its shard was the same
         self.system.move(self.part, self.path)
         return self.keys[0], self.keys[-1], len(self.keys), len(self.index), self.at + len(tail)
 
@@ -195,6 +198,8 @@ def write_shards(df: DataFrame, folder: str, key: str, columns: list[str], shard
     spark = df.sparkSession
     prepare(spark)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > UNKNOWN:  # the planner can't tell: measure
+        size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts(df, columns)), F.lit(8)))).first()[0] or 0
     number = max(1, -(-size // shard_bytes))
     rows = df.select(F.col(key).cast("long").alias("k"), *(c.alias(f"v{i}") for i, c in enumerate(texts(df, columns)))).where("k is not null")
 

@@ -122,9 +122,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **pa
     cuts = F.coalesce("__gone", F.array().cast("array<struct<s:bigint,e:bigint>>"))
     edge = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"))), cuts, F.array(F.struct(size.alias("s"), size.alias("e"))))
     spans = F.filter(F.transform(F.sequence(F.lit(0), F.size(edge) - 2), lambda i: F.struct(F.get(edge, i)["e"].alias("start"), F.get(edge, i + 1)["s"].alias("end"))), lambda s: s["start"] < s["end"])
-    text = F.array_join(F.transform(spans, lambda s: F.substring(F.col(text_col), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), "")
-    kept = F.when(F.col(text_col).isNotNull(), spans)
-    return both.select(*(F.when(F.col(text_col).isNotNull(), text).alias(c) if c == text_col else docs[c] for c in docs.columns), kept.alias("kept_spans"))
+    placed = both.withColumn("kept_spans", F.when(F.col(text_col).isNotNull(), spans))
+    text = F.array_join(F.transform("kept_spans", lambda s: F.substring(F.col(text_col), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), "")
+    return placed.withColumn(text_col, text).select(*docs.columns, "kept_spans")
 
 
 #: The same over ``documents`` with the production unit, for DuckDB.
