@@ -23,9 +23,9 @@ def dump(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rows.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns or rows.columns)).alias("value"))
 
 
-def head(rows: DataFrame, n: int, **types: str) -> DataFrame:
-    """The first n rows, columns cast as told; what can't be cast is null."""
-    return rows.limit(n).select(*(F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in rows.columns))
+def head(rows: DataFrame, count: int, **types: str) -> DataFrame:
+    """The first rows, columns cast as told; what can't be cast is null."""
+    return rows.limit(count).select(*(F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in rows.columns))
 
 
 def write_rolling(lines: DataFrame, path: str, most: int, compression: str = "none") -> None:

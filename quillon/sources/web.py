@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import zlib
 from collections.abc import Iterator
@@ -17,26 +16,40 @@ RECORD = "path string, position bigint, kind string, uri string, trec_id string,
 
 
 class Members(io.RawIOBase):
-    """The bytes of a gzip file of one or more members, or of a plain one, whatever its name; a broken tail ends it."""
+    """The bytes of a gzip file of one or more members, or of a plain one, whatever its name.  What a broken tail still
+    gives is given."""
 
     def __init__(self, raw: bytes) -> None:
-        self.source = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+        self.raw, self.at, self.ready = raw, 0, b""
+        self.unzip = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, buffer) -> int:  # noqa: ANN001
-        try:
-            data = self.source.read(len(buffer))
-        except (EOFError, OSError, zlib.error):
-            return 0
-        buffer[: len(data)] = data
-        return len(data)
+        while not self.ready and (self.at < len(self.raw) or (self.unzip and self.unzip.unconsumed_tail)):
+            if self.unzip is None:
+                self.ready, self.at = self.raw[self.at : self.at + (1 << 16)], self.at + (1 << 16)
+                continue
+            part = self.unzip.unconsumed_tail or self.raw[self.at : self.at + (1 << 16)]
+            self.at += 0 if self.unzip.unconsumed_tail else len(part)
+            try:
+                self.ready = self.unzip.decompress(part, 1 << 20)
+            except zlib.error:
+                self.at = len(self.raw)
+                self.unzip = zlib.decompressobj(31)
+                return 0
+            if self.unzip.eof:  # the next member
+                self.at -= len(self.unzip.unused_data)
+                self.unzip = zlib.decompressobj(31)
+        n = min(len(buffer), len(self.ready))
+        buffer[:n], self.ready = self.ready[:n], self.ready[n:]
+        return n
 
 
 def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(number, headers, content) of each record of an archive.  Header names are in lower case; what stands before a
-    record's first line is passed over; a record without a length ends at nothing."""
+    record's first line is passed over; a record without a length is empty, one that is cut off isn't given."""
     stream = io.BufferedReader(Members(raw))
     number = 0
     while True:
@@ -54,7 +67,10 @@ def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             size = int(headers.get("content-length", "0"))
         except ValueError:
             size = 0
-        yield number, headers, stream.read(size)
+        content = stream.read(size)
+        if len(content) < size:
+            return
+        yield number, headers, content
         number += 1
 
 
