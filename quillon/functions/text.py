@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ def tokens(text: Column) -> Column:
 
 def is_number(term: Column) -> Column:
     """Hexadecimal with its 0x, or a term without any letter beyond a to f: "cafe" counts as a number, as "1984" does."""
-    return term.rlike("^0x[0-9a-f]+$") | ~F.regexp_replace(term, "[a-f]", "").rlike(r"\p{L}")
+    return term.rlike("^0x[0-9a-f]+$") | ~term.rlike(r"[\p{L}&&[^a-f]]")
 
 
 def analyze(text: Column, stop_words: tuple[str, ...] | list[str] = STOP_WORDS, drop_numbers: bool = False) -> Column:
@@ -51,6 +51,14 @@ def analyze(text: Column, stop_words: tuple[str, ...] | list[str] = STOP_WORDS,
     return F.filter(found, lambda t: ~is_number(t)) if drop_numbers else found
 
 
+def explode_terms(rows: DataFrame, text: Column, name: str, keep: list[Column | str], stop_words: tuple[str, ...] | list[str] = STOP_WORDS, drop_numbers: bool = False) -> DataFrame:
+    """One row a term, repeats kept: the same terms as ``analyze``, but tested one by one after the explode, in generated code."""
+    found = rows.select(*keep, F.explode(tokens(text)).alias(name))
+    if stop_words:
+        found = found.where(~F.col(name).isin(list(stop_words)))
+    return found.where(~is_number(F.col(name))) if drop_numbers else found
+
+
 def terms(text: Column, stop_words: tuple[str, ...] | list[str] = STOP_WORDS, drop_numbers: bool = False) -> Column:
     """The distinct terms of a text."""
     return F.array_distinct(analyze(text, stop_words, drop_numbers))

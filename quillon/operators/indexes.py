@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import keys
-from quillon.functions.text import STOP_WORDS, analyze, blank_out, split_terms, terms
+from quillon.functions.text import STOP_WORDS, analyze, blank_out, explode_terms, split_terms, terms
 from quillon.plans.index import register
 
 
@@ -61,7 +61,8 @@ def geo_rows(posts: DataFrame, lon: Column, lat: Column) -> DataFrame:
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS, section: tuple[int, int] | None = None) -> DataFrame:
     """(term, doc_id, freq); numbers left out.  section (k, n) takes the documents whose id modulo n is k."""
     rows = docs if section is None else docs.where(F.pmod(F.col(id_col), F.lit(section[1])) == section[0])
-    return rows.select(F.col(id_col).alias("doc_id"), F.explode(analyze(F.col(text_col), stop_words, drop_numbers=True)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+    found = explode_terms(rows, F.col(text_col), "term", [F.col(id_col).alias("doc_id")], stop_words, drop_numbers=True)
+    return found.groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
 
 
 def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -89,5 +90,5 @@ def metadata_index(books: DataFrame, id_col: str, analyzed: list[str], split: li
 
 def page_positions(pages: DataFrame, book_col: str = "book", page_col: str = "page", text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(term, book, pages, freq): the pages that hold a term, ascending, and how often the book does."""
-    rows = pages.select(F.col(book_col).alias("book"), F.col(page_col).alias("page"), F.explode(analyze(F.col(text_col), stop_words, drop_numbers=True)).alias("term"))
+    rows = explode_terms(pages, F.col(text_col), "term", [F.col(book_col).alias("book"), F.col(page_col).alias("page")], stop_words, drop_numbers=True)
     return rows.groupBy("term", "book").agg(F.sort_array(F.collect_set("page")).alias("pages"), F.count("*").alias("freq"))

@@ -10,7 +10,8 @@ from quillon.functions.vectors import jaccard, plogp
 
 def tf_idf(frequencies: DataFrame, n_docs: DataFrame | int) -> DataFrame:
     """(term, doc_id, tfidf): tf ln(N / df)."""
-    df = frequencies.groupBy("term").agg(F.count("*").alias("df"))
+    # summing a capped frequency, not counting rows, keeps this side's shuffle the very one that the other side uses
+    df = frequencies.groupBy("term").agg(F.sum(F.least("freq", F.lit(1))).alias("df"))
     rows = frequencies.join(df, "term")
     if isinstance(n_docs, int):
         return rows.select("term", "doc_id", (F.col("freq") * F.ln(F.lit(n_docs) / F.col("df"))).alias("tfidf"))

@@ -16,6 +16,7 @@ from quillon.operators import counts, graph, indexes, lookup, sequence, sets, si
 from quillon.operators import terms as term_ops
 from quillon.plans.constraints import CellQuery
 from quillon.plans.index import IndexSpec, build_all
+from quillon.session import spread
 from quillon.sources import files, web
 from quillon.streaming import clustering, windows
 
@@ -52,7 +53,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def frequencies(spark: SparkSession, sf: str) -> DataFrame:
@@ -480,20 +481,20 @@ def word_count(spark, sf):
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", strip_tags(F.col("html")).alias("text"))
 
 
 @query()
 def html_text_terms(spark, sf):
     """By a parser, not by patterns, which is what no SQL does."""
-    text = table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
+    text = spread(table(spark, sf, "pages")).select("page_id", html_to_text("html").alias("text"))
     return text.select("page_id", F.explode(terms(F.col("text"))).alias("term"))
 
 
 @query()
 def page_links(spark, sf):
     """(page_id, url) of the links of pages."""
-    return web.out_links(table(spark, sf, "pages"), "page_id", "url", "html")
+    return web.out_links(spread(table(spark, sf, "pages")), "page_id", "url", "html")
 
 
 @query(r"SELECT host, count(*) AS n FROM (SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages) GROUP BY 1")
@@ -504,7 +505,7 @@ def hosts(spark, sf):
 @query()
 def stemmed_terms(spark, sf):
     """Counts of Porter stems in conversations."""
-    s = table(spark, sf, "conversations").select(F.explode(stems(tokens(F.col("text")))).alias("stem"))
+    s = spread(table(spark, sf, "conversations")).select(F.explode(stems(tokens(F.col("text")))).alias("stem"))
     return s.groupBy("stem").agg(F.count("*").alias("n"))
 
 

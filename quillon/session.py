@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC everywhere, AQE with skew splitting, and runtime Bloom filters on joins; sizes stay the cluster's business.
 SETTINGS = {
@@ -24,3 +24,11 @@ def session(name: str = "quillon", master: str | None = None, **settings: str) -
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it was read, its rows dealt out anew if it came in fewer parts than there are cores, as a small file of one
+    row group does; for work that costs far more than moving the rows.  A table of many files isn't touched."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    parts = table._jdf.queryExecution().toRdd().getNumPartitions()  # a scan has no stage to run for this
+    return table.repartition(cores) if parts < cores else table
