@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, blob, chunks, prepare
+from quillon.llm.common import U64, blob, chunks, mix, prepare
 
 WIDTH, FILTERS, BLOCK, HIDDEN = 6, 48, 512, 16
-#: Labelled rows of each class (the bound of the training sample), passes over them, and the least probability of an accepted text.
-SAMPLE, EPOCHS, THRESHOLD, SEED = 1500, 14, 0.6, 7
+#: Labelled rows of each class (the bound of the training sample), passes over them, steps at least (a small sample gets more
+#: passes), and the least probability of an accepted text.
+SAMPLE, EPOCHS, STEPS, THRESHOLD, SEED = 1500, 18, 500, 0.75, 7
 
 
 def blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +115,8 @@ def seeds(data: np.ndarray, offsets: np.ndarray, reject: np.ndarray, rng: np.ran
     """First filters: byte strings of 3 and 5 bytes, greedily chosen so that they cover rejected texts, each several times, and few others; a quarter stay random."""
     filters = rng.normal(scale=0.05, size=(WIDTH, 256, FILTERS))
 
-    def pairs(a: int, b: int, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct grams of texts [a, b) and their texts; of the given kinds only."""
+    def pairs(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct grams of texts [a, b) and their texts."""
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         doc = np.repeat(np.arange(b - a), np.diff(own))
         room = own[1:][doc] - np.arange(len(part))
@@ -125,27 +126,30 @@ def seeds(data: np.ndarray, offsets: np.ndarray, reject: np.ndarray, rng: np.ran
             key[: len(part) - k + 1] |= part[k - 1 :].astype(U64) << U64(8 * k - 8)
             if k in (3, 5):
                 gram = (key | U64(k) << U64(40))[room >= k]
-                of = doc[room >= k]
-                if kinds is not None:
-                    known = kinds[np.minimum(np.searchsorted(kinds, gram), len(kinds) - 1)] == gram
-                    gram, of = gram[known], of[known]
-                found.append(np.unique(gram + (of.astype(U64) << U64(48))))
+                found.append(np.unique(gram + (doc[room >= k].astype(U64) << U64(48))))
         both = np.concatenate([np.zeros(0, U64), *found])
         return both & U64((1 << 48) - 1), (both >> U64(48)).astype(np.int64) + a
 
-    lots = [(a, min(a + 64, len(reject))) for a in range(0, len(reject), 64)]
-    # grams of enough rejected texts, counted lot by lot
-    kinds, times = np.zeros(0, U64), np.zeros(0, np.int64)
+    # grams of too few rejected or too many accepted texts can't be chosen; they drop out by counts of their hashes,
+    # which take little memory; the rest are counted exactly
+    lots = [(a, min(a + 16, len(reject))) for a in range(0, len(reject), 16)]
+    place = lambda gram: (mix(gram) >> U64(42)).astype(np.int64)
+    times = np.zeros((2, 1 << 22), np.int32)
     for a, b in lots:
-        gram, of = pairs(a, b, None)
-        new, n = np.unique(gram[reject[of]], return_counts=True)
-        kinds, at = np.unique(np.concatenate([kinds, new]), return_inverse=True)
-        times = np.bincount(at, np.concatenate([times, n]), len(kinds)).astype(np.int64)
-    kinds = kinds[times >= max(2, 0.002 * reject.sum())]
-    if not len(kinds):
+        gram, of = pairs(a, b)
+        np.add.at(times, (reject[of].astype(np.int64), place(gram)), 1)
+    use = (times[1] >= max(2, 0.005 * reject.sum())) & (times[1] / max(1, reject.sum()) > 2 * times[0] / max(1, (~reject).sum()))
+    found = []
+    for a, b in lots:
+        gram, of = pairs(a, b)
+        often = use[place(gram)]
+        found.append((gram[often], of[often].astype(np.int32)))
+    gram, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found, times, use
+    if not len(gram):
         return filters
-    found = [pairs(a, b, kinds) for a, b in lots]
-    at, doc = np.searchsorted(kinds, np.concatenate([g for g, _ in found])), np.concatenate([d for _, d in found])
+    kinds, at = np.unique(gram, return_inverse=True)
+    del gram
     good = np.bincount(at, ~reject[doc], len(kinds)) / max(1, (~reject).sum())
     worth = reject / max(1, reject.sum())
     order = np.argsort(at, kind="stable")
@@ -181,6 +185,7 @@ def fit(texts: list[bytes], reject: np.ndarray, epochs: int = EPOCHS, seed: int
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     weight = np.where(reject, 0.5 / reject.mean(), 0.5 / (1 - reject.mean())).astype(np.float32)
     step = 0
+    epochs = max(epochs, -(-STEPS // -(-len(texts) // 64)))
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         perm = rng.permutation(len(texts))
