@@ -25,7 +25,7 @@ from quillon.llm.common import LOWER, U64, blob, chunks, components, cut, mix, p
 
 BITS = 128
 #: Production parameters: Hamming radius, tables, sampled coordinates of a table, and largest undivided bucket.
-RADIUS, TABLES, SAMPLED, CAP, SEED = 18, 20, 14, 1024, 42
+RADIUS, TABLES, SAMPLED, CAP, SEED = 20, 20, 14, 1024, 42
 
 
 def fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
