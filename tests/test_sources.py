@@ -151,7 +151,7 @@ info\r
 WARC/0.18\r
 WARC-Type: response\r
 WARC-Target-URI: http://A.com:80/x#f\r
-WARC-TREC-ID: clueweb09-en0000-01-00002\r
+WARC-TREC-ID: corpus-en0000-01-00002\r
 Content-Length: {n}\r
 \r
 {body}\r
@@ -176,7 +176,7 @@ def test_web_archives(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://A.com:80/x#f", html)], "id long, url string, html string")
     assert rows(web.out_links(pages, "id", "url", "html")) == [(1, "http://a.com/in"), (1, "http://b.org/")]
     assert pages.select(web.normal_url(F.col("url"))).first()[0] == "http://a.com/x"
-    assert spark.createDataFrame([("clueweb09-en0000-01-00002",)], "t string").select(web.document_number(F.col("t"))).first()[0] == 100002
+    assert spark.createDataFrame([("corpus-en0000-01-00002",)], "t string").select(web.document_number(F.col("t"))).first()[0] == 100002
 
 
 def test_books(spark, tmp_path):
