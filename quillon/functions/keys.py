@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,28 @@ def kind(key: Column) -> Column:
 def host(url: Column) -> Column:
     """Null for an address that can't be parsed."""
     return F.try_parse_url(url, F.lit("HOST"))
+
+
+def prefix_range(prefix: str) -> tuple[str, str | None]:
+    """[first, stop) of the keys with a prefix; no stop where none can be named."""
+    for i in range(len(prefix) - 1, -1, -1):
+        if ord(prefix[i]) < 0x10FFFF:
+            after = ord(prefix[i]) + 1
+            return prefix, prefix[:i] + chr(0xE000 if 0xD800 <= after < 0xE000 else after)
+    return prefix, None
+
+
+def expand_hosts(text: str, digits: int = 3) -> list[str]:
+    """Names from a list such as ``a-[1,3-5],b``."""
+    out = []
+    for name, numbers, plain in re.findall(r"([^,\[\]]+)\[([^\]]*)\]|([^,\[\]]+)", text):
+        if plain:
+            out.append(plain.strip())
+            continue
+        for part in numbers.split(","):
+            first, _, last = part.partition("-")
+            lo, hi = int(first), int(last or first)
+            if lo > hi:
+                raise ValueError(f"{part!r} is no range")
+            out += [f"{name.strip()}{i:0{digits}}" for i in range(lo, hi + 1)]
+    return out

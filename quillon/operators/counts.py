@@ -52,6 +52,19 @@ def undirected_edges(links: DataFrame, source: str = "user_id", target: str = "t
     return links.where(t.isNotNull()).groupBy(F.least(s, t).alias("a"), F.greatest(s, t).alias("b")).agg(F.count("*").alias("n"))
 
 
+def mention_network(posts: DataFrame, wanted: list[str], window: TimeWindow | None = None, memes: str = "memes") -> DataFrame:
+    """(src, dst, n): who mentions whom in posts with one of the keys, by a scan; a post counts once however many of them it has."""
+    hit = F.arrays_overlap(memes, F.array(*(F.lit(w.lower()) for w in wanted)))
+    named = F.explode(F.transform(F.filter(memes, lambda m: m.startswith("@")), lambda m: F.substring(m, 2, 30).try_cast("bigint")))
+    return within(posts, window).where(hit).select(F.col("user_id").alias("src"), named.alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def per_file(rows: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
+    """(value): ``date|key|n`` lines, the dates with ``_``: what daily_lines reads."""
+    n = rows.groupBy(F.date_format(ts, "yyyy_MM_dd").alias("date"), key).agg(F.count("*").alias("n"))
+    return n.select(F.concat_ws("|", "date", key, F.col("n").cast("string")).alias("value"))
+
+
 def daily(index: DataFrame, window: TimeWindow | None = None) -> DataFrame:
     """(key, date, freq)."""
     return within(index, window).groupBy("key", timespan.day(F.col("ts")).alias("date")).agg(F.count("*").alias("freq"))

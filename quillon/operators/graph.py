@@ -78,6 +78,12 @@ def layout(edges: DataFrame, iterations: int = 10, max_delta: float | None = Non
     return now
 
 
+def plain_split(numbered: DataFrame, parts: int) -> DataFrame:
+    """Numbered vertices in parts of like size, in order of their numbers."""
+    total = numbered.agg(F.count("*").alias("__n"))
+    return numbered.crossJoin(F.broadcast(total)).withColumn("part", F.floor(F.col("id") * parts / F.col("__n")).cast("int")).drop("__n")  # one row is broadcast
+
+
 def split_stats(parts: DataFrame, weight: str, part: str = "part") -> DataFrame:
     """(part, vertices, weight) of a split of vertices."""
     return parts.groupBy(part).agg(F.count("*").alias("vertices"), F.sum(weight).alias("weight"))

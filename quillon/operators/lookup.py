@@ -87,6 +87,16 @@ def with_reshared(posts: DataFrame, columns: list[str]) -> DataFrame:
     return posts.join(original, "reshared_id", "left")
 
 
+def scan_keys(posts: DataFrame, wanted: list[str], window: TimeWindow | None = None, memes: str = "memes") -> DataFrame:
+    """Ids of posts by keys without an index: the brute-force twin of by_keyword."""
+    return within(posts, window).where(F.arrays_overlap(memes, F.array(*(F.lit(w.lower()) for w in wanted)))).select("post_id")
+
+
+def scan_pattern(posts: DataFrame, pattern: str, window: TimeWindow | None = None, memes: str = "memes") -> DataFrame:
+    """Ids of posts with a key that a regular expression matches whole, without an index."""
+    return within(posts, window).where(F.exists(memes, lambda m: F.lower(m).rlike(f"^(?:{pattern})$"))).select("post_id")
+
+
 def first_rows(rows: DataFrame, key: str, n: int, start: object = None) -> DataFrame:
     """The first n rows by key, from a key on: top-k, no full sort."""
     found = rows if start is None else rows.where(F.col(key) >= F.lit(start))

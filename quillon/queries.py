@@ -213,6 +213,31 @@ def posts_by_keyword_set(spark, sf):
     return lookup.by_keyword(memes(spark, sf), "#Click, @42", BOTH)
 
 
+@query(P + f" SELECT DISTINCT post_id FROM memes WHERE key IN ('#click', '@42') AND {IN_BOTH}")
+def posts_by_key_scan(spark, sf):
+    return lookup.scan_keys(posts(spark, sf), ["#Click", "@42"], BOTH)
+
+
+@query(P + " SELECT DISTINCT post_id FROM memes WHERE regexp_full_match(key, '#(click|sign.*)|@4.')")
+def posts_by_pattern_scan(spark, sf):
+    return lookup.scan_pattern(posts(spark, sf), "#(click|sign.*)|@4.")
+
+
+@query(P + " SELECT user_id AS src, k AS dst, count(*) AS n FROM posts WHERE event_type IN ('click', 'view') AND k IS NOT NULL GROUP BY 1, 2")
+def mention_network_scan(spark, sf):
+    return counts.mention_network(posts(spark, sf), ["#Click", "#view"])
+
+
+@query(P + " SELECT strftime(ts, '%Y_%m_%d') || '|' || key || '|' || count(*) AS value FROM memes WHERE key LIKE '#%' GROUP BY strftime(ts, '%Y_%m_%d'), key")
+def daily_tag_lines(spark, sf):
+    return counts.per_file(memes(spark, sf).where(F.col("key").startswith("#")))
+
+
+@query(P + ", n AS (SELECT user_id AS name FROM posts UNION SELECT k FROM posts WHERE k IS NOT NULL), i AS (SELECT row_number() OVER (ORDER BY name) - 1 AS id, count(*) OVER () AS c FROM n) SELECT CAST(id * 4 // c AS INT) AS part, count(*) AS vertices, CAST(sum(id) AS BIGINT) AS weight FROM i GROUP BY 1")
+def plain_split_stats(spark, sf):
+    return graph.split_stats(graph.plain_split(graph.number_vertices(posts(spark, sf), "user_id", "k"), 4), "id")
+
+
 @query(P + " SELECT DISTINCT post_id FROM memes WHERE starts_with(key, '#pu')")
 def posts_by_prefix_star(spark, sf):
     return lookup.by_keyword(memes(spark, sf), "#pu*")

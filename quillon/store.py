@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions import keys
 from quillon.functions.timespan import TimeWindow
+from quillon.model import post_schema
 from quillon.operators import counts, lookup
 from quillon.plans.constraints import CellQuery, keyword
 from quillon.plans.index import IndexSpec, build_all
 from quillon.sources import files, posts
+from quillon.streaming import windows
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -35,6 +37,16 @@ class Store:
         """The same from the files that a file lists."""
         posts.save(posts.ingest(posts.read_list(self.spark, path), index), self.folder)
 
+    def follow(self, folder: str, files_per_trigger: int = 1000):  # noqa: ANN201
+        """Load and index what arrives in a folder, as a stream: the batch's own transforms on every micro-batch.  Returns the
+        started query; it stops when all that is there now is loaded."""
+        stream = windows.read_stream(self.spark, folder, post_schema(), files_per_trigger=files_per_trigger)
+
+        def each(rows: DataFrame, batch_id: int) -> None:
+            posts.save(posts.ingest(rows.where("id is not null").drop("_corrupt")), self.folder)
+
+        return stream.writeStream.foreachBatch(each).trigger(availableNow=True).option("checkpointLocation", f"{self.folder}/_progress").start()
+
     def build_indexes(self, specs: list[IndexSpec], only: str | None = None) -> None:
         """Build indexes of one's own definition from the posts."""
         for name, rows in build_all(specs, {"posts": self.table("posts")}, {"posts": "post_id"}, {"posts": "ts"}, only).items():
@@ -46,7 +58,7 @@ class Store:
     def tables(self) -> list[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in system.listStatus(path) if s.isDirectory()) if system.exists(path) else []
+        return sorted(s.getPath().getName() for s in system.listStatus(path) if s.isDirectory() and not s.getPath().getName().startswith("_")) if system.exists(path) else []
 
     def drop(self, name: str) -> bool:
         """Delete a table; False if there was none."""

@@ -72,3 +72,10 @@ def test_keys(spark):
     assert one(spark, keys.geo_cell(F.col("x"), F.col("y")), x=-0.019, y=86.539) == "-1_8653"
     assert one(spark, keys.host(F.col("u")), u="http://a.b/c?d") == "a.b" and one(spark, keys.host(F.col("u")), u="http://a b:%%") is None
     assert one(spark, keys.hashtag(F.col("u")), u="ABC") == "#abc" and one(spark, keys.mention(F.col("u")), u=12) == "@12"
+
+
+def test_ranges_and_hosts():
+    assert keys.prefix_range("ab") == ("ab", "ac") and keys.prefix_range("a\U0010ffff") == ("a\U0010ffff", "b") and keys.prefix_range("\U0010ffff") == ("\U0010ffff", None)
+    assert keys.expand_hosts("a-[1,3-5],b,c-[10]") == ["a-001", "a-003", "a-004", "a-005", "b", "c-010"]
+    with pytest.raises(ValueError):
+        keys.expand_hosts("a-[5-3]")

@@ -163,3 +163,37 @@ def test_echo_and_replay(spark, feed, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
     t = spark.range(10).select("id", F.timestamp_seconds(F.col("id") * 10).alias("ts"))
     assert rows(windows.replay(t, "1970-01-01 00:00:20", 30, 2).select("id", "step")) == [(2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (7, 1)]
+
+
+def test_adjusted_deviations():
+    c = clustering.Clusterer(deviations=2.0, adjust=0.5, total=1.0, squares=1.0, n=10)  # mean 0.1, deviation 0.3
+    seen = []
+    for _ in range(5):
+        c.adapt()
+        seen.append(c.now)
+    assert seen == [1.5, 1.0, 0.5, 0.0, 0.0]
+    c.total, c.squares = 9.0, 8.2  # mean 0.9, deviation 0.1
+    for _ in range(6):
+        c.adapt()
+    assert c.now == 2.0 and c.threshold() == pytest.approx(0.7)
+
+
+def test_results_as_lines(spark, tmp_path):
+    c = clustering.Clusterer(k=4, steps=5)
+    c.step(made(3, 3))
+    (tmp_path / "clusters.txt").write_text("\n".join(c.lines()))
+    assert rows(clustering.read_lines(spark.read.text(str(tmp_path / "clusters.txt")))) == sorted(c.members(), key=repr)
+
+
+def test_following_a_folder(spark, feed, tmp_path):
+    from quillon.store import Store
+
+    live, whole = Store(spark, str(tmp_path / "live")), Store(spark, str(tmp_path / "whole"))
+    live.follow(str(feed), 1).awaitTermination()
+    whole.load(f"{feed}/*.json")
+    assert live.tables() == whole.tables()
+    for t in ("posts", "index_memes", "index_text"):
+        key = "post_id" if t == "posts" else "key"
+        assert rows(live.table(t).groupBy(key).count()) == rows(whole.table(t).groupBy(key).count())
+    live.follow(str(feed)).awaitTermination()  # nothing is loaded twice
+    assert live.table("posts").count() == 40
