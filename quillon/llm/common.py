@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
-BATCH_BYTES = 16 << 20
+CHUNK = 1 << 20
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 
 

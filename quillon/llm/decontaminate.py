@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import U64, blob, chunks, prepare, span_hashes, words
 
 #: Words that must agree, bytes of a shard of training text, and bytes of benchmark text sent at once.
-MIN_WORDS, SHARD, SENT = 13, 4 << 20, 32 << 20
+MIN_WORDS, SHARD, SENT = 13, 2 << 20, 32 << 20
 
 
 def suffix_array(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
