@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = own.select("doc_id", "hi", "lo", F.coalesce("root", "id").alias("kept_doc_id")).where("doc_id <> kept_doc_id").distinct()
     heads = nodes.join(moved.select(F.col("kept_doc_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("kept_doc_id"), F.col("hi").alias("h"), F.col("lo").alias("l"))
     far = F.bit_count(F.col("hi").bitwiseXOR(F.col("h"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("l")))
-    return moved.join(heads, "kept_doc_id").groupBy("doc_id").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.min_by(far, "kept_doc_id").cast("int").alias("distance"))
+    return moved.join(heads, "kept_doc_id").groupBy("doc_id").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.min_by(far, "kept_doc_id").cast("double").alias("distance"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
