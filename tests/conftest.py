@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from quillon.session import session
 
-    s = session("tests", "local[4]", **{"spark_ui_enabled": "false", "spark_ui_showConsoleProgress": "false", "spark_sql_shuffle_partitions": "4", "spark_driver_memory": "3g", "spark_local_dir": tempfile.mkdtemp()})
+    s = session("tests", "local[4]", **{"spark_ui_enabled": "false", "spark_ui_showConsoleProgress": "false", "spark_sql_shuffle_partitions": "4", "spark_sql_maxMetadataStringLength": "2000", "spark_driver_memory": "3g", "spark_local_dir": tempfile.mkdtemp()})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
@@ -25,7 +25,3 @@ def spark():
 def sf():
     return SF
 
-
-def rows(df):
-    """Sorted tuples of a result."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)
