@@ -1,7 +1,9 @@
 """Secret scans by a battery of randomness tests.
 
 A candidate is a longest run of at least ``EDGES[0]`` characters of ``A-Z a-z 0-9 + / _ -`` with the one or two ``=`` that may
-follow.  Its encoding is the first of these whose alphabet holds it: hexadecimal (one case; letters and digits),
+follow.  So is each part of a run that is as long and stands between separators, for each set of separators in
+``SPLITS`` (a key after a path, a prefix or another key), and so are the digits of groups of hexadecimal joined by
+``-`` (UUIDs).  Its encoding is the first of these whose alphabet holds it: hexadecimal (one case; letters and digits),
 base32, upper or lower case with digits, letters of one case, letters, letters with digits, base64, base64url.
 Runs of digits alone are numbers and not looked at.
 
@@ -11,10 +13,12 @@ times three, is the battery's; below ``ALPHA`` the candidate isn't random.
 
 How often ordinary text of like length passes for random is counted, not assumed: the short words of every document,
 joined with and without separators, are cut into windows of each length in ``EDGES`` in turn, and go through the
-same battery; ``REFERENCE`` windows per length of letters at common frequencies join them, for small tables.  A
+same battery, and so do the parts of the windows; words that are groups of a hexadecimal candidate aren't ordinary.
+``REFERENCE`` windows per length of letters at common frequencies join them, for small tables.  A
 candidate's p-value is the share of ordinary windows of its length class that have its encoding and look as
 random as it does.  Within each length class Benjamini and Hochberg's step-up bounds the expected share of
-false discoveries by ``Q``.  Battery p-values are binned, so what goes to the driver is a few thousand counts, however
+false discoveries by ``Q``.  Runs and parts are judged apart, each against the like of ordinary windows.  Of discoveries of one run those inside another aren't listed; of equal
+places the least p-value is.  Battery p-values are binned, so what goes to the driver is a few thousand counts, however
 large the table; all documents, whole, enter the counts.
 
 Defined results: null or empty texts have no candidates; rows with a null id are scanned and listed under a null
@@ -29,7 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import blob, chunks, cut, prepare
@@ -38,10 +43,13 @@ from quillon.llm.common import blob, chunks, cut, prepare
 EDGES = np.array([16, 20, 24, 32, 40, 48, 64, 96, 128, 256])
 ALPHA, Q, REFERENCE = 1e-4, 0.01, 20_000
 BINS, MASK = 100, b"[SECRET]"
+#: Sets of characters that may separate a secret from what it is joined to; the first has all.
+SPLITS = [b"+/_-", b"_-", b"+/", b"-", b"_", b"/"]
 NAMES = ["hex", "base32", "upper36", "lower36", "upper", "lower", "letters", "base62", "base64", "base64url", "digits"]
 _UP, _LOW, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 _ALPHABETS = [_DIGIT + b"abcdef", _UP + b"234567", _DIGIT + _UP, _DIGIT + _LOW, _UP, _LOW, _UP + _LOW, _UP + _LOW + _DIGIT, _UP + _LOW + _DIGIT + b"+/", _UP + _LOW + _DIGIT + b"-_", _DIGIT]
 SIZES = np.array([len(a) for a in _ALPHABETS])
+CELLS = len(EDGES) * len(NAMES) * BINS
 VALUES = np.zeros((len(NAMES), 256), np.int64)
 for _k, _a in enumerate(_ALPHABETS):
     for _i, _c in enumerate(_a):
@@ -136,43 +144,116 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return data[np.repeat(starts - first, size) + np.arange(size.sum())], first
 
 
+def chains(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of longest rows of two groups or more, of hexadecimal digits in one case, joined by single dashes;
+    the groups are whole, and have ``EDGES[0]`` digits or more between them."""
+    starts, ends = runs_of(ALNUM[flat], bounds)
+    if not len(starts):
+        return starts, ends
+    joined = np.r_[False, (starts[1:] == ends[:-1] + 1) & (flat[ends[:-1]] == 45)]
+    joined[np.searchsorted(starts, bounds[:-1][bounds[:-1] <= starts[-1]])] = False  # rows are apart
+    digits = np.r_[0, np.cumsum(ends - starts)]
+    out = []
+    for beyond in (_UP + _LOW[6:], _LOW + _UP[6:]):
+        other = np.zeros(256, bool)
+        other[list(beyond)] = True
+        total = np.r_[0, np.cumsum(other[flat])]
+        hexa = total[ends] == total[starts]
+        first = np.flatnonzero(hexa & ~(joined & np.r_[False, hexa[:-1]]))
+        last = np.flatnonzero(hexa & ~np.r_[joined[1:] & hexa[1:], False])
+        use = (last > first) & (digits[last + 1] - digits[first] >= EDGES[0])
+        out.append(np.stack([starts[first[use]], ends[last[use]]]))
+    starts, ends = np.unique(np.concatenate(out, axis=1), axis=1)
+    return starts, ends
+
+
+def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(number of the run, start, end, symbols, where each one's symbols begin) of the parts of runs."""
+    number = np.arange(len(starts))
+    if len(starts):
+        token, first = gather(data, starts, ends)
+        number = np.flatnonzero(has(token, first, SPLITS[0]))
+    if not len(number):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    flat, first = gather(data, starts[number], ends[number])
+    bounds = np.r_[first, len(flat)]
+    size = np.diff(bounds)
+    found = []
+    for members in SPLITS:
+        apart = np.ones(256, bool)
+        apart[list(members)] = False
+        s, e = runs_of(apart[flat], bounds)
+        long = (e - s >= EDGES[0]) & (e - s < size[np.searchsorted(bounds, s, "right") - 1])
+        found.append(np.stack([s[long], e[long]]))
+    s, e = np.unique(np.concatenate(found, axis=1), axis=1)
+    cs, ce = chains(flat, bounds)
+    symbols, begin = gather(flat, s, e) if len(s) else (np.zeros(0, np.uint8), s)
+    if len(cs):
+        more, begins = gather(flat, cs, ce)
+        digit = more != 45
+        begins = np.r_[0, np.cumsum(digit)][begins]
+        symbols, begin = np.r_[symbols, more[digit]], np.r_[begin, len(symbols) + begins]
+    s, e = np.r_[s, cs], np.r_[e, ce]
+    of = np.searchsorted(bounds, s, "right") - 1
+    move = starts[number[of]] - first[of]
+    return number[of], s + move, e + move, symbols, begin
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, end, encoding, p-values, cell) of the candidates of a chunk."""
+    """(row, start, end, encoding, p-values, cell) of the longest runs of a chunk."""
+    return tested(data, offsets, False)[:-1]
+
+
+def tested(data: np.ndarray, offsets: np.ndarray, divided: bool = True) -> tuple[np.ndarray, ...]:
+    """(row, start, end, encoding, p-values, cell, number of the run) of the candidates of a chunk; cells of parts are
+    those from ``CELLS`` on."""
     starts, ends = runs_of(RUN[data], offsets)
     long = ends - starts >= EDGES[0]
     starts, ends = starts[long], ends[long]
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, np.zeros((0, 3)), empty
+        return empty, empty, empty, empty, np.zeros((0, 3)), empty, empty
     token, first = gather(data, starts, ends)
+    number, whole = np.arange(len(starts)), len(starts)
+    if divided:
+        of, s, e, symbols, begin = parts(data, starts, ends)
+        number, starts, ends = np.r_[number, of], np.r_[starts, s], np.r_[ends, e]
+        token, first = np.r_[token, symbols], np.r_[first, len(token) + begin]
     kind, p = battery(token, first)
     use = NAMES.index("digits") != kind
     row = np.searchsorted(offsets, starts, "right") - 1
-    cell = cells(kind, p, ends - starts)
+    cell = cells(kind, p, np.diff(np.r_[first, len(token)]))
+    cell[whole:] += CELLS
     limit = offsets[1:][row]
     for _ in range(2):
         more = (ends < limit) & (data[np.minimum(ends, len(data) - 1)] == 61) & ((kind == 7) | (kind == 8) | (kind == 9))
         ends = ends + more
-    return row[use], starts[use], ends[use], kind[use], p[use], cell[use]
+    return row[use], starts[use], ends[use], kind[use], p[use], cell[use], number[use]
 
 
 def ordinary(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Cells of the ordinary windows of a chunk: each row's short words, cut into windows of all lengths in turn."""
+    """Cells of the ordinary windows of a chunk: each row's short words, cut into windows of all lengths in turn, and the windows' parts."""
     starts, ends = runs_of(ALNUM[data], offsets)
     short = ends - starts < EDGES[0]
+    group, over = chains(data, offsets)
+    if len(group):  # groups of hexadecimal are candidates
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, group, 1)
+        np.add.at(inside, over, -1)
+        short &= np.cumsum(inside)[starts] == 0
     starts, ends = starts[short], ends[short]
     if not len(starts):
         return np.zeros(0, np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
     nth = np.arange(len(starts)) - np.searchsorted(row, row)
-    # groups of eight words are joined by nothing, nothing, a dash, and underscore or slash, in turn
+    # groups of eight words are joined by nothing, nothing, a dash, and underscore, slash and dash, in turn
     way = nth // 8 % 4
     size = ends - starts + (way >= 2)
     first = np.r_[0, np.cumsum(size)[:-1]]
     word = np.repeat(np.arange(len(starts)), size)
     at = np.arange(size.sum()) - first[word]
     joint = at == (ends - starts)[word]
-    stream = np.where(joint, np.where(way[word] == 2, 45, np.where(nth[word] % 2 == 0, 95, 47)), data[np.minimum(starts[word] + at, len(data) - 1)]).astype(np.uint8)
+    stream = np.where(joint, np.where(way[word] == 2, 45, np.array([95, 47, 45])[nth[word] % 3]), data[np.minimum(starts[word] + at, len(data) - 1)]).astype(np.uint8)
     begin = first[np.searchsorted(row, row[word])]
     t = np.arange(len(stream)) - begin
     edge = np.r_[0, np.cumsum(EDGES)]
@@ -184,7 +265,11 @@ def ordinary(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(opens):
         return np.zeros(0, np.int64)
     token, first = gather(stream, opens, opens + length)
-    return cells(*battery(token, first), length)
+    _, _, _, symbols, begin = parts(stream, opens, opens + length)
+    token, first = np.r_[token, symbols], np.r_[first, len(token) + begin]
+    cell = cells(*battery(token, first), np.diff(np.r_[first, len(token)]))
+    cell[len(opens) :] += CELLS
+    return cell
 
 
 def reference(n: int = REFERENCE) -> np.ndarray:
@@ -218,7 +303,7 @@ def accepted_cells(null: np.ndarray, seen: np.ndarray, q: float = Q, alpha: floa
     return np.flatnonzero(keep.ravel()), p.ravel()
 
 
-FOUND = "doc_id long, start long, end long, kind int, p_chi double, p_runs double, p_serial double, cell int"
+FOUND = "doc_id long, start long, end long, kind int, p_chi double, p_runs double, p_serial double, cell int, run long"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,8 +311,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        null = np.zeros(len(EDGES) * len(NAMES) * BINS, np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int64()]
+        null = np.zeros(2 * CELLS, np.int64)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
+        runs = (TaskContext.get().partitionId() << 40) + 1  # numbers of runs; no two tasks share one
         names = [x.split()[0] for x in FOUND.split(", ")] + ["count"]
         for batch in batches:
             data, offsets = blob(batch.column(1))
@@ -236,26 +322,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 if not len(part):
                     continue
                 null += np.bincount(ordinary(part, own), minlength=len(null))
-                row, start, end, kind, p, cell = candidates(part, own)
+                row, start, end, kind, p, cell, number = tested(part, own)
                 if len(row):
+                    number += runs
+                    runs = int(number.max()) + 1
                     char = np.r_[0, np.cumsum((part & 0xC0) != 0x80)]
                     base = char[own[row]]
                     ids = batch.column(0).take(pa.array(a + row))
-                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(x).cast(t) for x, t in zip((char[start] - base, char[end] - base, kind, p[:, 0], p[:, 1], p[:, 2], cell), types[1:8], strict=True)), pa.nulls(len(row), pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(x).cast(t) for x, t in zip((char[start] - base, char[end] - base, kind, p[:, 0], p[:, 1], p[:, 2], cell, number), types[1:9], strict=True)), pa.nulls(len(row), pa.int64())], names)
         at = np.flatnonzero(null)
         nothing = [pa.nulls(len(at), t) for t in types[:7]]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(at).cast(pa.int32()), pa.array(null[at])], names)
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(at).cast(pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(null[at])], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"{FOUND}, count long")
 
 
 def judge(found: DataFrame, q: float = Q, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
     """Accepted cells and all cells' p-values.  At most one count per cell and side comes to the driver."""
-    null, seen = reference(), np.zeros(len(EDGES) * len(NAMES) * BINS, np.int64)
+    null, seen = np.tile(reference(), 2), np.zeros(2 * CELLS, np.int64)
     for r in found.groupBy("cell").agg(F.sum("count").alias("null"), F.count_if(F.col("count").isNull()).alias("seen")).collect():
         null[r.cell] += r.null or 0
         seen[r.cell] += r.seen
-    return accepted_cells(null, seen, q, alpha)
+    whole, part = (accepted_cells(null[x], seen[x], q, alpha) for x in (slice(CELLS), slice(CELLS, None)))
+    return np.r_[whole[0], part[0] + CELLS], np.r_[whole[1], part[1]]
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q, alpha: float = ALPHA) -> DataFrame:
@@ -267,9 +356,21 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q:
     rows = [(int(c), NAMES[c // BINS % len(NAMES)], float(p[c])) for c in good]  # at most one per cell, whatever the input
     table = docs.sparkSession.createDataFrame(rows, "cell int, encoding string, p_value double")
     hits = found.where(F.col("count").isNull()).join(F.broadcast(table), "cell")
+    before = Window.partitionBy("run").orderBy("start", F.desc("end"), "p_value", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("reach", F.max("end").over(before)).where("reach is null or end > reach")
     return hits.select("doc_id", "start", "end", "encoding", *(F.round(c, 6).alias(c) for c in ("p_chi", "p_runs", "p_serial")), "p_value")
 
 
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places, in order, those that overlap as one."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.r_[True, start[1:] >= reach[:-1]])
+    return start[first], reach[np.r_[first[1:], len(start)] - 1]
+
+
 def redact(docs: DataFrame, text_col: str = "text", q: float = Q, alpha: float = ALPHA, mask: bytes = MASK) -> DataFrame:
     """The documents with every discovery replaced by the mask; all else as it was.  The counts take one pass over the
     texts, the replacing another; nothing but counts is shuffled."""
@@ -286,9 +387,10 @@ def redact(docs: DataFrame, text_col: str = "text", q: float = Q, alpha: float =
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 if not len(part):
                     continue
-                row, start, end, _, _, cell = candidates(part, own)
+                row, start, end, _, _, cell, _ = tested(part, own)
                 hit = np.isin(cell, good)
-                row, start, end = row[hit], start[hit], end[hit]
+                start, end = merged(start[hit], end[hit])
+                row = np.searchsorted(own, start, "right") - 1
                 for r in np.unique(row):
                     out, last = [], own[r]
                     for s, e in zip(start[row == r], end[row == r], strict=True):

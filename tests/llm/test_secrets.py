@@ -141,3 +141,28 @@ def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = {(i, m.group()) for i, t in texts.items() for m in re.finditer(r"(?<![\w+/-])(?:[0-9a-f]{40}|AKIA[A-Z0-9]{16})(?![\w+/-])", t)}
     assert {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in got} == want
+
+
+def test_joined_secrets(spark):
+    """A secret is found and masked whatever a separator joins it to, and so are hyphenated UUIDs."""
+    r = random.Random(12)
+    draw = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
+    hexa, base62 = "0123456789abcdef", ALPHABETS["base62"].decode()
+    made, documents = {}, []
+    for i in range(120):
+        key, around = [
+            (draw(hexa, 40), "deploy/token/{}"), (draw(hexa, 64), "key-{}"), (draw(hexa, 32), "secret_key_{}"), (draw(base62, 48), "users/keys/{}/view"),
+            ("-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), "{}"), ("-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), "items/{}/view"),
+        ][i % 6]
+        made[i] = key
+        documents.append((i, f"{prose(i, 60)} https://example.org/{around.format(key)} {prose(-i - 1, 60)} internationalization-of-applications and/or-the_other/way-around", "en"))
+    texts = {i: t for i, t, _ in documents}
+    docs = table(spark, documents)
+    got = [(x.doc_id, texts[x.doc_id][x.start : x.end]) for x in secrets.secrets(docs).collect()]
+    assert len(set(got)) == len(got)
+    hit = {i for i, s in got if made[i] in s}
+    assert len(hit) >= 0.98 * len(made)
+    assert [(s, made[i]) for i, s in got if made[i] not in s or len(s) > len(made[i]) + 24] == []
+    clean = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert {i for i in made if made[i] not in clean[i]} == hit
+    assert all("internationalization-of-applications and/or-the_other/way-around" in t for t in clean.values())
