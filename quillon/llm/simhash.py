@@ -3,8 +3,9 @@
 A document's fingerprint has 128 bits: each bit is the majority, over its distinct words, of that bit of the
 words' hashes.  Documents with equal fingerprints are one node.  Each of several tables samples coordinates
 at random; nodes that agree on a table's sample share a bucket.  A bucket above ``cap`` is divided by further
-sampled coordinates of its table until it fits.  Within a bucket every pair's Hamming distance is
-verified, and what is verified leaves the bucket as a spanning star of each of its components, which keeps
+coordinates until it fits, in as many independent ways as it takes for a pair at the radius to stay together in one of
+them with probability ``RECALL``; where that costs more than to compare all its pairs, all are compared.  Within a
+bucket or piece every pair's Hamming distance is verified, and what is verified leaves the bucket as a spanning star of each of its components, which keeps
 the output linear in the bucket.  Groups are the connected components.
 
 Defined results: a null or empty text, or one without any word, has no fingerprint and is never grouped;
@@ -25,7 +26,9 @@ from quillon.llm.common import LOWER, U64, blob, chunks, components, cut, mix, p
 
 BITS = 128
 #: Production parameters: Hamming radius, tables, sampled coordinates of a table, and largest undivided bucket.
-RADIUS, TABLES, SAMPLED, CAP, SEED = 20, 20, 14, 1024, 42
+RADIUS, TABLES, SAMPLED, CAP, SEED = 20, 30, 14, 1024, 42
+#: Share of the pairs at the radius that a divided bucket must keep; so 30 tables find 0.9 of them even if all are divided.
+RECALL = 0.9
 
 
 def fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,45 +101,83 @@ def spread(nodes: DataFrame, tables: int, sampled: int, seed: int) -> DataFrame:
     return nodes.select("hi", "lo", "id").mapInArrow(run, "table int, bucket long, hi long, lo long, id long")
 
 
-def divide(bit: np.ndarray, order: np.ndarray, rows: np.ndarray, depth: int, cap: int) -> Iterator[np.ndarray]:
-    """Rows in groups of at most cap that agree on ever more coordinates; nodes differ, so this ends."""
-    while len(rows) > cap and depth < BITS:
+def pieces(bit: np.ndarray, order: np.ndarray, rows: np.ndarray, depth: int, cap: int, cuts: int = 0) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows in groups of at most cap that agree on ever more coordinates, and the cuts that made each; nodes differ, so this ends."""
+    while len(rows) > cap and depth < len(order):
         one = bit[rows, order[depth]] == 1
         depth += 1
         if one.all() or not one.any():
             continue
-        yield from divide(bit, order, rows[~one], depth, cap)
+        cuts += 1
+        yield from pieces(bit, order, rows[~one], depth, cap, cuts)
         rows = rows[one]
-    if len(rows) > 1:
-        yield rows
+    yield rows, cuts
+
+
+def divide(bit: np.ndarray, order: np.ndarray, rows: np.ndarray, depth: int, cap: int) -> Iterator[np.ndarray]:
+    """The pieces of more than one row."""
+    return (part for part, _ in pieces(bit, order, rows, depth, cap) if len(part) > 1)
+
+
+def large(prints: np.ndarray, order: np.ndarray, radius: int, cap: int, seed: int) -> Iterator[np.ndarray]:
+    """Pieces of a bucket above cap, in independent ways, until each node has been with all but 1 - RECALL of the nodes
+    at the radius; at last the whole, if it costs no more."""
+    n, bit = len(prints), np.unpackbits(prints.view(np.uint8), axis=1)
+    count = bit.sum(0, dtype=np.int64)
+    varying = order[((count > 0) & (count < n))[order]]
+    m = len(varying)
+    together = np.cumprod(np.r_[1.0, np.maximum(0, m - radius - np.arange(m)) / (m - np.arange(m))])  # by cuts
+    rng = np.random.default_rng(seed)
+    missed, cost = np.ones(n), 0
+    while (missed > 1 - RECALL + 1e-9).any():
+        parts = list(pieces(bit, varying, np.arange(n), 0, cap))
+        cost += sum(len(rows) ** 2 for rows, _ in parts)
+        for rows, cuts in parts:
+            missed[rows] *= 1 - together[cuts]
+        # ways still to go, as long as this one, for the node that has most before it
+        ways = np.log(1 - RECALL) / min(np.log(missed.max()), -1e-9)
+        if cost * max(1, ways) >= n * n:
+            yield np.arange(n)
+            return
+        yield from (rows for rows, _ in parts if len(rows) > 1)
+        varying = rng.permutation(varying)
 
 
 def star(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each member to the least of its component, over all pairs within the radius."""
     n = len(ids)
-    near_a, near_b = [], []
-    for i in range(0, n, 128):
-        far = np.bitwise_count(prints[i : i + 128, None, 0] ^ prints[None, :, 0]) + np.bitwise_count(prints[i : i + 128, None, 1] ^ prints[None, :, 1])
+    root = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # rank by id
+    step = max(1, min(128, (1 << 22) // n))
+    near: list[np.ndarray] = []
+    held = 0
+    for i in range(0, n, step):
+        far = np.bitwise_count(prints[i : i + step, None, 0] ^ prints[None, i:, 0]) + np.bitwise_count(prints[i : i + step, None, 1] ^ prints[None, i:, 1])
         a, b = np.nonzero(far <= radius)
-        a = a + i
-        near_a.append(a[a < b])
-        near_b.append(b[a < b])
-    a, b = np.concatenate(near_a), np.concatenate(near_b)
-    if not len(a):
-        return a, b
-    root = np.arange(n)[np.argsort(np.argsort(ids, kind="stable"), kind="stable")]  # rank by id
-    while True:  # least rank among neighbours, then pointer jumping, until nothing moves
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
-        if (new == root).all():
-            break
-        root = new
+        a, b = root[a + i], root[b + i]
+        near.append(np.stack([a, b])[:, a != b])
+        held += near[-1].shape[1]
+        if held > 1 << 20:  # what is joined already needs no more edges
+            root, near, held = joined(root, np.concatenate(near, axis=1)), [], 0
+    root = joined(root, np.concatenate(near, axis=1))
     least = np.sort(ids)[root]
     moved = least != ids
     return ids[moved], least[moved]
 
 
+def joined(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The ranks of the members' roots after roots in pairs are joined."""
+    least = np.arange(len(root))
+    while pairs.shape[1]:  # least rank among neighbours, then pointer jumping, until nothing moves
+        new = least.copy()
+        np.minimum.at(new, pairs[0], least[pairs[1]])
+        np.minimum.at(new, pairs[1], least[pairs[0]])
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    return least[root]
+
+
 def links(buckets: DataFrame, radius: int, cap: int, tables: int, sampled: int, seed: int) -> DataFrame:
     """Verified edges (a, b) of all buckets: one shuffle by (table, bucket), then numpy over each bucket's whole run."""
     order = coordinates(tables, seed)
@@ -145,7 +186,7 @@ def links(buckets: DataFrame, radius: int, cap: int, tables: int, sampled: int,
         if len(ids) <= cap:
             parts = [np.arange(len(ids))] if len(ids) > 1 else []
         else:
-            parts = divide(np.unpackbits(prints.view(np.uint8), axis=1), order[table], np.arange(len(ids)), sampled, cap)
+            parts = large(prints, order[table], radius, cap, seed + table)
         for rows in parts:
             a, b = star(prints[rows].view(U64), ids[rows], radius)
             if len(a):

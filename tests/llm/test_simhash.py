@@ -94,3 +94,30 @@ def test_query(spark, sf):
     near = [(docs[at[i]].doc_id, docs[at[j]].doc_id) for i, j in zip(*np.nonzero(far <= simhash.RADIUS), strict=True) if i < j]
     assert sum(got.get(a, a) == got.get(b, b) for a, b in near) >= 0.9 * len(near)
     assert all(kept < i for i, kept in got.items())
+
+
+def test_recall_in_buckets_above_the_cap(spark):
+    """Pairs near the radius stay together, by brute force, in one table whose bucket is far above the cap: pairs apart from
+    all others, and variants of one hot template."""
+    rng = np.random.default_rng(4)
+    sample = simhash.coordinates(1, simhash.SEED)[0][: simhash.SAMPLED]
+    free = np.setdiff1d(np.arange(simhash.BITS), sample)
+    for hot in (False, True):
+        bit = rng.integers(0, 2, (2000, simhash.BITS), dtype=np.uint8)
+        if hot:
+            bit[:] = bit[0]
+            for row in bit:
+                row[rng.choice(free, 30, replace=False)] ^= 1
+        bit[:, sample] = 1
+        twin = bit.copy()
+        for row in twin:
+            row[rng.choice(free, rng.integers(17, simhash.RADIUS + 1), replace=False)] ^= 1
+        p = np.packbits(np.concatenate([bit, twin]), axis=1).view(np.int64)
+        nodes = spark.createDataFrame([(int(x), int(y), i) for i, (x, y) in enumerate(p)], "hi long, lo long, id long")
+        found = simhash.links(simhash.spread(nodes, 1, simhash.SAMPLED, simhash.SEED), simhash.RADIUS, 256, 1, simhash.SAMPLED, simhash.SEED)
+        root = {r.node: r.root for r in common.components(found).collect()}
+        u = p.view(np.uint64)
+        far = np.bitwise_count(u[:, None, 0] ^ u[None, :, 0]) + np.bitwise_count(u[:, None, 1] ^ u[None, :, 1])
+        near = [(int(a), int(b)) for a, b in zip(*np.nonzero(far <= simhash.RADIUS), strict=True) if a < b]
+        assert len(near) >= 2000
+        assert sum(root.get(a, a) == root.get(b, b) for a, b in near) >= 0.9 * len(near)
