@@ -131,6 +131,41 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _kinds() -> np.ndarray:
+    """By code point: 1 is punctuation or space, 2 a character of a script without spaces, 0 any other; the last stands for all beyond."""
+    kinds = np.zeros(0x40000, np.uint8)
+    for a, b in ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFE)):
+        kinds[a : b + 1] = 2
+    for a, b in ((0xA0, 0xA1), (0xAB, 0xAB), (0xBB, 0xBB), (0xBF, 0xBF), (0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)):
+        kinds[a : b + 1] = 1
+    return kinds
+
+
+KINDS = _kinds()
+
+
+def script_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like words, but each character of a script without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tibetan)
+    is a word of its own, and punctuation beyond ASCII stands between words."""
+    at = np.flatnonzero(data >= 0xC2)
+    if not len(at):
+        return words(data, offsets)
+    lead, size = data[at].astype(np.int64), 2 + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+    point = lead & np.array([0x1F, 0x0F, 0x07])[size - 2]
+    for j in (1, 2, 3):
+        point = np.where(size > j, point << 6 | (data[np.minimum(at + j, len(data) - 1)] & 0x3F), point)
+    kind = KINDS[np.minimum(point, len(KINDS) - 1)]
+    inside = WORD[data]
+    for j in range(4):
+        inside[at[(kind == 1) & (size > j)] + j] = False
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    begins[at[kind == 2]] = begins[at[kind == 2] + size[kind == 2]] = True
+    starts = np.flatnonzero(inside & (begins[:-1] | ~np.r_[False, inside[:-1]]))
+    ends = np.flatnonzero(inside & (begins[1:] | ~np.r_[inside[1:], False])) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """Connected components: (node, root) for every node of an edge but the roots, a root being the least node of its component.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, blob, chunks, prepare, span_hashes, words
+from quillon.llm.common import U64, blob, chunks, prepare, script_words, span_hashes
 
 #: Words that must agree, bytes of a shard of training text, and bytes of benchmark text sent at once.
 MIN_WORDS, SHARD, SENT = 13, 2 << 20, 32 << 20
@@ -76,7 +76,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         self.ids = np.array(ids, np.int64)
         data, offsets = blob(pa.array(texts, pa.string()))
-        starts, ends, self.item = words(data, offsets)
+        starts, ends, self.item = script_words(data, offsets)
         self.hash = span_hashes(data, starts, ends)
         size = np.bincount(self.item, minlength=len(texts))
         first = np.r_[0, np.cumsum(size)]
@@ -94,7 +94,7 @@ def search(data: np.ndarray, offsets: np.ndarray, items: Items, min_words: int)
     for a, b in chunks(offsets, SHARD):
         own = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
-        starts, ends, doc = words(part, own)
+        starts, ends, doc = script_words(part, own)
         if not len(starts):
             continue
         kinds, ids = np.unique(span_hashes(part, starts, ends), return_inverse=True)

@@ -103,3 +103,13 @@ def test_query(spark, sf):
     texts, bench_texts = dict(documents), dict(items)
     for (d, i), (n, s, e, x, y) in got.items():
         assert WORD.findall(texts[d][s:e]) == WORD.findall(bench_texts[i][x:y]) and len(WORD.findall(texts[d][s:e])) == n
+
+
+def test_scripts_without_spaces(spark):
+    """A passage inside a longer run of ideographs, kana or Thai is found where it stands."""
+    passages = ["天地玄黄宇宙洪荒日月盈昃辰宿列张", "いろはにほへとちりぬるをわかよたれそ", "กขคฆงจฉชซฌญฎฏฐฑฒณ"]
+    docs = [(i, f"前後{p[:9]}、{p[9:]}後前" if i == 1 else f"前後{p}後前", "zh") for i, p in enumerate(passages, 1)] + [(9, passages[0][:12] + "別" + passages[0][12:], "zh")]
+    benchmark = spark.createDataFrame([(i, f"問{p}。") for i, p in enumerate(passages, 1)], "item_id long, text string")
+    got = decontaminate.matches(table(spark, docs), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.n_words, r.doc_start) for r in got} == {(i, i, len(p), 2) for i, p in enumerate(passages, 1)}
+    assert {r.doc_id for r in decontaminate.clean(table(spark, docs), benchmark).collect()} == {9}
