@@ -6,7 +6,8 @@ Conventions that hold for every operator:
 * input columns are named by parameters and everything else is ignored, so extra columns never clash;
 * a null text counts as an empty one unless an operator says otherwise;
 * texts are always processed whole; batches are cut into chunks of about ``CHUNK`` bytes only to bound
-  memory, and a text longer than that is a chunk of its own.
+  memory, and a text longer than that is taken in pieces, cut where it changes nothing, whose results are put
+  together, so that memory beside the text itself doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64, for n up to CHUNK + 1."""
     if len(_powers.get(base, ())) < n:
         x = np.full(max(n, CHUNK + 1), base, U64)
         x[0] = 1
@@ -100,17 +101,95 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64, from two tables of at most CHUNK + 1 entries."""
+    if not len(at):
+        return np.zeros(0, U64)
+    top = int(at.max()) // CHUNK
+    low = powers(base, CHUNK)[at % CHUNK] if top else powers(base, int(at.max()) + 1)[at]
+    if not top:
+        return low
+    high = np.full(top + 1, pow(base, CHUNK, 1 << 64), U64)
+    high[0] = 1
+    return low * np.multiply.accumulate(high)[at // CHUNK]
+
+
+def prefix_sums(values: np.ndarray, base: int, at: list[np.ndarray]) -> list[np.ndarray]:
+    """For each list of places: the sums of values[i] * base**i over i below the place; block by block, so that memory doesn't
+    grow with the values."""
+    if len(values) <= CHUNK:
+        total = np.zeros(len(values) + 1, U64)
+        np.cumsum(values.astype(U64) * powers(base, len(values)), out=total[1:])
+        return [total[x] for x in at]
+    out, before = [np.zeros(len(x), U64) for x in at], U64(0)
+    for a in range(0, len(values) + 1, CHUNK):
+        part = values[a : a + CHUNK].astype(U64)
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * powers(base, len(part)), out=total[1:])
+        total = total * U64(pow(base, a, 1 << 64)) + before
+        for x, y in zip(at, out, strict=True):
+            here = np.flatnonzero((x >= a) & (x < a + CHUNK))
+            y[here] = total[x[here] - a]
+        before = total[-1]
+    return out
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span; equal spans hash alike wherever they stand."""
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * powers(_BASE, len(values)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_BACK, len(values) + 1)[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of values[start:end] for each span of bytes; equal spans hash alike wherever they stand."""
+    if len(values) <= CHUNK:
+        low, high = prefix_sums(values.astype(np.uint16) + np.uint16(1), _BASE, [starts, ends])
+    else:  # sums of bytes and of ones are apart, so that no copy of the values is made
+        (low, high), (a, b) = prefix_sums(values, _BASE, [starts, ends]), prefix_sums(np.broadcast_to(np.uint8(1), len(values)), _BASE, [starts, ends])
+        low, high = low + a, high + b
+    return mix((high - low) * power(_BACK, starts) + (ends - starts).astype(U64))
+
+
+def stretches(offsets: np.ndarray, data: np.ndarray, stop: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int, int, int]]:
+    """(a, b, low, high): rows [a, b) and their bytes, as chunks has them; but a row of more than size bytes comes in pieces of at
+    most that, each but the last ending behind a byte of the table ``stop``.  A piece is longer only where the row has no
+    such byte."""
+    for a, b in chunks(offsets, size):
+        low, end = int(offsets[a]), int(offsets[b])
+        while end - low > size:
+            high = _cut(data, low, low + size, end, stop)
+            yield a, b, low, high
+            low = high
+        if low < end or low == offsets[a]:
+            yield a, b, low, end
+
+
+def _cut(data: np.ndarray, low: int, high: int, end: int, stop: np.ndarray, step: int = 1 << 16) -> int:
+    """The last place behind a stop byte in (low, high], or the first beyond, or the end."""
+    at = high
+    while at > low:
+        found = np.flatnonzero(stop[data[max(low, at - step) : at]])
+        if len(found):
+            return max(low, at - step) + int(found[-1]) + 1
+        at -= step
+    while high < end:
+        found = np.flatnonzero(stop[data[high : min(end, high + step)]])
+        if len(found):
+            return high + int(found[0]) + 1
+        high += step
+    return end
+
+
+def char_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many characters begin before each of the ascending places; memory doesn't grow with the data."""
+    out, before, done = np.zeros(len(at), np.int64), 0, 0
+    for a in range(0, len(data) + 1, CHUNK):
+        part = np.cumsum((data[a : a + CHUNK] & 0xC0) != 0x80, dtype=np.int64)
+        upto = int(np.searchsorted(at, min(a + CHUNK, len(data) + 1), "left"))
+        out[done:upto] = before + np.r_[0, part][at[done:upto] - a]
+        before, done = before + (int(part[-1]) if len(part) else 0), upto
+    return out
 
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
+NO_WORD = ~WORD
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

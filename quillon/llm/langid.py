@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, blob, chunks, prepare
+from quillon.llm.common import U64, blob, prepare, stretches
 
 #: Longest context in bytes; labelled documents sampled per language (the bound of the training sample) and
 #: bytes taken in all per language.
 ORDER, SAMPLE_DOCS, SAMPLE_BYTES = 4, 150, 1 << 20
 EMPTY = U64((1 << 64) - 1)
+EVERY = np.ones(256, bool)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -120,17 +121,18 @@ class Model:
         """Code length of each row in each language."""
         width, order = len(self.languages), self.order
         out = np.zeros((len(offsets) - 1, width))
-        for a, b in chunks(offsets, 1 << 19):
-            part = data[offsets[a] : offsets[b]]
-            own = offsets[a : b + 1] - offsets[a]
-            if not len(part) or not width:
+        for a, b, low, high in stretches(offsets, data, EVERY, 1 << 19):
+            if low == high or not width:
                 continue
+            before = min(order, low - int(offsets[a]))  # a piece of a long row begins with the bytes before it, as context
+            part = data[low - before : high]
+            own = offsets[a : b + 1] - low if b - a > 1 else np.array([0, len(part)])
             full = np.zeros(len(part), U64)
             for k in range(order + 1):
                 full[k:] |= part[: len(part) - k].astype(U64) << U64(8 * k)
             history = np.minimum(np.arange(len(part)) - np.repeat(own[:-1], np.diff(own)), order)
             cost = np.zeros((len(part), width), np.float32)
-            left = np.arange(len(part))
+            left = np.arange(before, len(part))
             for k in range(order, -1, -1):
                 # those with k predecessors at least; the others wait for a shorter context
                 able = left if k == 0 else left[history[left] >= k]
@@ -146,26 +148,44 @@ class Model:
                 left = np.concatenate([able, wait])
             cost[left] += 8  # never seen at any order
             full_rows = np.flatnonzero(np.diff(own))
-            out[a + full_rows] = np.add.reduceat(cost, own[full_rows], axis=0, dtype=np.float64)
+            out[a + full_rows] += np.add.reduceat(cost, own[full_rows], axis=0, dtype=np.float64)
         return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Trees from, per language, the sample_docs labelled documents whose ids hash least, sample_bytes of them at most.
-
-    The choice is a pruned top-k over id and label only; one more pass fetches the chosen texts."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    keys = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
-    chosen = [r.id for r in keys.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id").distinct().collect()]
-    rows = docs.where(F.col(id_col).isin(chosen)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").distinct().collect() if chosen else []
-    samples: dict[str, list[bytes]] = {}
-    room: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.id, r.text)):
-        text = r.text.encode()
-        if text and room.setdefault(r.lang, sample_bytes) >= len(text):
-            room[r.lang] -= len(text)
-            samples.setdefault(r.lang, []).append(text)
-    return Model(samples, order)
+    """Trees from, per language, the sample_docs labelled documents with any text whose ids hash least, and sample_bytes of them at
+    most: of each as much from its beginning as an even share gives, what short ones leave going to the longer, and a
+    sixteenth of the bytes at most.
+
+    The choice is a pruned top-k over id and label only, of twice as many as are needed, since some may have no text; one more pass
+    fetches what is used of their texts.  Only a language all of whose chosen documents are empty takes a pass over texts."""
+
+    def pick(rows: DataFrame, most: int) -> dict[str, list[bytes]]:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+        keys = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
+        chosen = [(r.id, r.lang) for r in keys.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "lang").distinct().collect()]
+        text = F.substring(F.col(text_col), 1, max(1, sample_bytes // 16))
+        fetched = docs.where(F.col(id_col).isin(sorted({i for i, _ in chosen}))).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col)).alias("place")).where("lang is not null and text <> ''").distinct().collect() if chosen else []
+        found: dict[str, list[bytes]] = {lang: [] for _, lang in chosen}
+        for r in sorted(fetched, key=lambda r: (r.lang, r.place, r.id, r.text)):
+            found.setdefault(r.lang, []).append(r.text.encode())
+        return found
+
+    samples = pick(docs, 2 * sample_docs)
+    empty = [lang for lang, texts in samples.items() if not texts]
+    if empty:
+        samples |= pick(docs.where(F.col(lang_col).isin(empty) & (F.col(text_col) != "")), sample_docs)
+    return Model({lang: shared(texts[:sample_docs], sample_bytes) for lang, texts in samples.items() if texts and sample_bytes}, order)
+
+
+def shared(texts: list[bytes], room: int) -> list[bytes]:
+    """The texts, the longest cut to one length at which all of them fit the room."""
+    sizes = sorted(len(t) for t in texts)
+    for k, size in enumerate(sizes):
+        if size * (len(sizes) - k) >= room:
+            return [t[: max(1, room // (len(sizes) - k))] for t in texts]
+        room -= size
+    return texts
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

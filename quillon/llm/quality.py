@@ -31,6 +31,8 @@ WIDTH, FILTERS, BLOCK, HIDDEN = 6, 48, 512, 16
 #: Labelled rows of each class (the bound of the training sample), passes over them, steps at least (a small sample gets more
 #: passes), and the least probability of an accepted text.
 SAMPLE, EPOCHS, STEPS, THRESHOLD, SEED = 1500, 18, 500, 0.75, 7
+#: Bytes that are convolved at once: blocks that fit a processor's cache.
+LOT = 64 * BLOCK
 
 
 def blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,16 +85,27 @@ class Network:
         return np.concatenate([np.maximum(np.maximum.reduceat(top, first, axis=0) + self.p["bias"], 0), total / count[:, None]], axis=1)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability of each row; empty rows have 0."""
+        """Probability of each row; empty rows have 0.  A row of more than LOT bytes is convolved in pieces of whole blocks, each
+        with the bytes that its last windows reach into the next; what is held of it is a row of maxima a block."""
         out = np.zeros(len(offsets) - 1)
-        for a, b in chunks(offsets, 1 << 15):
-            own = offsets[a : b + 1] - offsets[a]
+        for a, b in chunks(offsets, LOT):
+            low, high = int(offsets[a]), int(offsets[b])
+            if high - low > LOT:
+                tops = []
+                for x in range(low, high, LOT):
+                    y = min(x + LOT, high)
+                    reach = min(WIDTH - 1, high - y)
+                    made = self.convolve(data[x : y + reach])[: y - x]
+                    tops.append(np.maximum.reduceat(made, np.arange(0, y - x, BLOCK), axis=0))
+                top = np.concatenate(tops)
+                out[a] = self.head(self.features(top, np.zeros(len(top), np.int64)))[0]
+                continue
+            own = offsets[a : b + 1] - low
             starts, row = blocks(own)
             if not len(row):
                 continue
-            part = data[offsets[a] : offsets[b]]
             # windows over a row's end see zero bytes, not the next row
-            out[a + np.unique(row)] = self.head(self.features(np.maximum.reduceat(self.ended(part, own), starts, axis=0), row))
+            out[a + np.unique(row)] = self.head(self.features(np.maximum.reduceat(self.ended(data[low:high], own), starts, axis=0), row))
         return out
 
     def ended(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, U64, blob, chunks, components, cut, mix, prepare, span_hashes, words
+from quillon.llm.common import LOWER, NO_WORD, U64, blob, components, cut, mix, prepare, span_hashes, stretches, words
 
 BITS = 128
 #: Production parameters: Hamming radius, tables, sampled coordinates of a table, and largest undivided bucket.
@@ -33,13 +33,25 @@ RECALL = 0.9
 
 def fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the blob that have a word, and their fingerprints as (n, 2) signed words."""
-    rows, prints = [], []
-    for a, b in chunks(offsets):
-        part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    rows, prints, held = [], [], []
+    for a, b, low, high in stretches(offsets, data, NO_WORD):
+        whole = low == offsets[a] and high == offsets[b]
+        part, own = data[low:high], offsets[a : b + 1] - low if whole else np.array([0, high - low])
         starts, ends, doc = words(part, own)
+        hashes = span_hashes(LOWER[part], starts, ends)
+        if not whole:  # a piece of one long row: its distinct words wait for those of the other pieces
+            held.append(np.unique(hashes >> U64(12)))
+            if high < offsets[b]:
+                continue
+            hashes = np.unique(np.concatenate(held))
+            held = []
+            if len(hashes):
+                total = sum(bits_of(hashes[i : i + (1 << 15)]).sum(0, dtype=np.int64) for i in range(0, len(hashes), 1 << 15))
+                prints.append(np.packbits(total[None, :] * 2 > len(hashes), axis=1).view(np.int64))
+                rows.append(np.array([a]))
+            continue
         if not len(starts):
             continue
-        hashes = span_hashes(LOWER[part], starts, ends)
         order = np.lexsort((hashes, doc)) if b - a > 4096 else None
         if order is None:  # one sort of single words: 12 bits of row, 52 of hash
             both = np.sort((doc.astype(U64) << U64(52)) | (hashes >> U64(12)))
@@ -55,15 +67,23 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         runs = np.concatenate([np.arange(f, f + c, 255) for f, c in zip(first, count, strict=True)]) if (count > 255).any() else first
         totals = np.empty((len(first), BITS), np.int64)
         for half in (0, 1):
-            word = mix(hashes + U64(0x632BE59BD9B4E019 * (half + 1) & (1 << 64) - 1))
-            bit = np.unpackbits(word[:, None].view(np.uint8), axis=1)
-            part_sum = np.add.reduceat(bit, runs, axis=0, dtype=np.uint8)
+            part_sum = np.add.reduceat(half_bits(hashes, half), runs, axis=0, dtype=np.uint8)
             totals[:, half * 64 : half * 64 + 64] = np.add.reduceat(part_sum, np.searchsorted(runs, first), axis=0, dtype=np.int64) if len(runs) > len(first) else part_sum
         prints.append(np.packbits(totals * 2 > count[:, None], axis=1).view(np.int64))
         rows.append(a + doc[first])
     return (np.concatenate(rows), np.concatenate(prints)) if rows else (np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
 
 
+def half_bits(hashes: np.ndarray, half: int) -> np.ndarray:
+    """(n, 64) bits of words' hashes, for the first or the second half of the fingerprint."""
+    word = mix(hashes + U64(0x632BE59BD9B4E019 * (half + 1) & (1 << 64) - 1))
+    return np.unpackbits(word[:, None].view(np.uint8), axis=1)
+
+
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    return np.concatenate([half_bits(hashes, half) for half in (0, 1)], axis=1)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hi, lo) of every document with a word; one narrow pass over id and text."""
     prepare(docs.sparkSession)
