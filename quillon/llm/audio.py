@@ -14,7 +14,7 @@ without copying, and ``store`` writes Arrow files of that type from the tasks.
 
 Defined results: a null, empty or silent clip, or bytes that aren't such a file, have no rows; a clip shorter than a
 frame is filled up with silence; rows with a null id are kept; repeated rows are repeated; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+empty result; other columns are ignored, whatever their names; of a long clip no more than LOT frames are resampled at once.
 """
 
 from __future__ import annotations
@@ -36,22 +36,54 @@ RATE, FRAME, HOP, FFT, MELS, WINDOW = 16_000, 400, 160, 512, 40, 32
 #: Taps of each phase's filter on either side; hysteresis in decibels below the loudest frame, and the absolute floor.
 TAPS, ON, OFF, FLOOR = 8, 12.0, 18.0, -60.0
 SILENCE = math.log(1e-10)
+#: Frames whose spectra are taken at once.
+LOT = 2048
 SCHEMA = "doc_id long, segment int, window int, start_s double, end_s double, n_frames int, peak_db double, mel array<float>"
 
 
+def read_aloud(text: Column, lines: int = 8, pause: int = 400) -> Column:
+    """A text whose bytes, as samples, fall silent after every so many lines: for so many samples comes U+007F, which lies next to
+    the zero of 8-bit samples."""
+    return F.regexp_replace(text, rf"((?:[^\n]*\n){{{lines}}})", "$1" + "\x7f" * pause)
+
+
 def wav(text: Column, rate: int = 8000) -> Column:
     """The bytes of a column as a WAVE file of 8-bit mono samples, its lengths left open as in a stream."""
     head = b"RIFF\xff\xff\xff\xffWAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate, 1, 8) + b"data\xff\xff\xff\xff"
     return F.concat(F.lit(head), text.cast("binary"))
 
 
-def samples(clip: bytes) -> tuple[int, np.ndarray] | None:
-    """Rate and samples, in [-1, 1], of a WAVE file, or None."""
+class Samples:
+    """The samples of a clip, in [-1, 1], made as they are asked for."""
+
+    def __init__(self, body: memoryview, channels: int, bits: int) -> None:
+        self.raw = np.frombuffer(body, {8: np.uint8, 16: "<i2", 32: np.float32}[bits]).reshape(-1, channels)
+        self.bits = bits
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Samples:
+        """From samples that are there already."""
+        return cls(np.ascontiguousarray(x, np.float32).data, 1, 32)
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        """Samples [a, b); silence where there are none."""
+        low, high = min(max(a, 0), len(self.raw)), min(max(b, 0), len(self.raw))
+        x = self.raw[low:high].astype(np.float32)
+        x = (x - 128) / 128 if self.bits == 8 else x / 32768 if self.bits == 16 else x
+        x = x[:, 0] if x.shape[1] == 1 else x.mean(1)
+        return x if (low, high) == (a, b) else np.concatenate([np.zeros(low - a if low > a else 0, np.float32), x, np.zeros(b - max(high, a), np.float32)])[: b - a]
+
+
+def samples(clip: bytes | memoryview) -> tuple[int, Samples] | None:
+    """Rate and samples of a WAVE file, or None."""
     if len(clip) < 12 or clip[:4] != b"RIFF" or clip[8:12] != b"WAVE":
         return None
     at, form = 12, None
     while at + 8 <= len(clip):
-        name, size = clip[at : at + 4], int.from_bytes(clip[at + 4 : at + 8], "little")
+        name, size = bytes(clip[at : at + 4]), int.from_bytes(clip[at + 4 : at + 8], "little")
         at += 8
         if name == b"fmt " and at + 16 <= len(clip):
             form = struct.unpack_from("<HHIIHH", clip, at)
@@ -61,9 +93,7 @@ def samples(clip: bytes) -> tuple[int, np.ndarray] | None:
                 return None
             body = clip[at : at + min(size, len(clip) - at)]
             step = channels * bits // 8
-            body = body[: len(body) // step * step]
-            x = (np.frombuffer(body, np.uint8).astype(np.float32) - 128) / 128 if bits == 8 else np.frombuffer(body, "<i2").astype(np.float32) / 32768
-            return rate, x if channels == 1 else x.reshape(-1, channels).mean(1)
+            return rate, Samples(body[: len(body) // step * step], channels, bits)
         at += size + size % 2
     return None
 
@@ -81,18 +111,24 @@ def bank(rate: int) -> tuple[int, int, np.ndarray]:
     return up, down, (taps / taps.sum(1, keepdims=True)).astype(np.float32)
 
 
-def resample(x: np.ndarray, rate: int) -> np.ndarray:
-    """Polyphase resampling: output n comes from phase n * down % up at input n * down // up."""
-    if rate == RATE or not len(x):
-        return x
+def resampled_length(n: int, rate: int) -> int:
+    g = math.gcd(rate, RATE)
+    return -(-n * (RATE // g) // (rate // g))
+
+
+def resample(x: Samples, rate: int, a: int, b: int) -> np.ndarray:
+    """Outputs [a, b) of polyphase resampling: output n comes from phase n * down % up at input n * down // up; silence beyond the end."""
+    end = min(b, resampled_length(len(x), rate))
+    if rate == RATE or a >= end:
+        out = x.part(a, max(a, end)) if rate == RATE else np.zeros(0, np.float32)
+        return np.concatenate([out, np.zeros(b - a - len(out), np.float32)])
     up, down, taps = bank(rate)
-    half = taps.shape[1] // 2
-    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(half - 1, np.float32), x, np.zeros(half, np.float32)]), 2 * half)
-    n = -(-len(x) * up // down)
-    out = np.empty(n, np.float32)
-    for p in range(min(up, n)):  # outputs p, p + up, ... share a phase
-        at = np.arange(p, n, up)
-        out[at] = view[at * down // up] @ taps[p * down % up]
+    half, first = taps.shape[1] // 2, a * down // up
+    view = np.lib.stride_tricks.sliding_window_view(x.part(first - half + 1, (end - 1) * down // up + half + 1), 2 * half)
+    out = np.zeros(b - a, np.float32)
+    for p in range(min(up, end - a)):  # outputs a + p, a + p + up, ... share a phase
+        at = np.arange(a + p, end, up)
+        out[at - a] = view[at * down // up - first] @ taps[(a + p) * down % up]
     return out
 
 
@@ -107,12 +143,15 @@ def filters() -> tuple[np.ndarray, np.ndarray]:
     return np.hanning(FRAME + 1)[:-1].astype(np.float32), np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
 
 
-def frames(x: np.ndarray) -> np.ndarray:
-    """(n, FRAME) overlapping frames, as many as begin before the end; what they lack is silence."""
-    n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    full = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    full[: len(x)] = x[: len(full)]
-    return np.lib.stride_tricks.sliding_window_view(full, FRAME)[::HOP]
+def frame_count(x: Samples, rate: int) -> int:
+    """Overlapping frames, as many as begin before the end, and one at least."""
+    return max(1, -(-(resampled_length(len(x), rate) - FRAME) // HOP) + 1)
+
+
+def frames(x: Samples, rate: int, a: int = 0, b: int | None = None) -> np.ndarray:
+    """(b - a, FRAME) frames [a, b); what they lack is silence."""
+    b = frame_count(x, rate) if b is None else b
+    return np.lib.stride_tricks.sliding_window_view(resample(x, rate, a * HOP, (b - 1) * HOP + FRAME), FRAME)[::HOP]
 
 
 def log_mel(frame: np.ndarray) -> np.ndarray:
@@ -137,45 +176,59 @@ def hysteresis(db: np.ndarray, on: float = ON, off: float = OFF, floor: float =
     return list(zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True))
 
 
-def windows(mel: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """Tensors (n, WINDOW * MELS) and (segment, window, start, end, frames, peak) of one clip."""
+def energies(frame: np.ndarray) -> np.ndarray:
+    return 10 * np.log10(np.maximum((frame * frame).mean(1), 1e-12))
+
+
+def windows(mel: np.ndarray, db: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple]]]:
+    """Tensors (n, WINDOW * MELS) and (segment, window, start, end, frames, peak) of one clip, in lots."""
     spans = [(k, w, s, min(s + WINDOW, b)) for k, (a, b) in enumerate(hysteresis(db)) for w, s in enumerate(range(a, b, WINDOW))]
-    out = np.full((len(spans), WINDOW, MELS), SILENCE, np.float32)
-    rows = []
-    for i, (k, w, s, e) in enumerate(spans):
-        out[i, : e - s] = mel[s:e]
-        rows.append((k, w, s * HOP / RATE, ((e - 1) * HOP + FRAME) / RATE, e - s, round(float(db[s:e].max()), 3)))
-    return out.reshape(len(spans), WINDOW * MELS), rows
+    for at in range(0, len(spans), LOT // WINDOW):
+        lot = spans[at : at + LOT // WINDOW]
+        out = np.full((len(lot), WINDOW, MELS), SILENCE, np.float32)
+        rows = []
+        for i, (k, w, s, e) in enumerate(lot):
+            out[i, : e - s] = mel[s:e]
+            rows.append((k, w, s * HOP / RATE, ((e - 1) * HOP + FRAME) / RATE, e - s, round(float(db[s:e].max()), 3)))
+        yield out.reshape(len(lot), WINDOW * MELS), rows
 
 
 def clips(column: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple], np.ndarray]]:
-    """(tensors, rows, place in the column of each row) in lots of a few hundred frames, so that the spectra are vectorised
-    over many short clips and no long clip is held at once with others."""
+    """(tensors, rows, place in the column of each row).  Short clips go in lots of LOT frames, so that the spectra are
+    vectorised over many; a longer one by itself, LOT frames at a time, of which the filterbanks and energies are held."""
     data, offsets = blob(column)
-    raw = data.tobytes()
     lot: list[tuple[int, np.ndarray]] = []
     held = 0
 
     def flush() -> tuple[np.ndarray, list[tuple], np.ndarray]:
         every = np.concatenate([f for _, f in lot])
-        mel = np.concatenate([log_mel(every[i : i + 2048]) for i in range(0, len(every), 2048)])
-        db = 10 * np.log10(np.maximum((every * every).mean(1), 1e-12))
+        mel, db = np.concatenate([log_mel(every[i : i + LOT]) for i in range(0, len(every), LOT)]), energies(every)
         tensors, rows, place, at = [], [], [], 0
         for i, f in lot:
-            t, r = windows(mel[at : at + len(f)], db[at : at + len(f)])
+            for t, r in windows(mel[at : at + len(f)], db[at : at + len(f)]):
+                tensors.append(t)
+                rows += r
+                place += [i] * len(r)
             at += len(f)
-            tensors.append(t)
-            rows += r
-            place += [i] * len(r)
-        return np.concatenate(tensors), rows, np.array(place, np.int64)
+        return (np.concatenate(tensors) if tensors else np.zeros((0, WINDOW * MELS), np.float32)), rows, np.array(place, np.int64)
 
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        found = samples(raw[a:b]) if b > a else None
+        found = samples(data[a:b].data) if b > a else None
         if found is None or not len(found[1]):
             continue
-        lot.append((i, frames(resample(found[1], found[0]))))
-        held += len(lot[-1][1])
-        if held >= 2048:
+        rate, x = found
+        n = frame_count(x, rate)
+        if n > LOT:
+            mel, db = np.empty((n, MELS), np.float32), np.empty(n)
+            for f in range(0, n, LOT):
+                part = frames(x, rate, f, min(n, f + LOT))
+                mel[f : f + LOT], db[f : f + LOT] = log_mel(part), energies(part)
+            for t, r in windows(mel, db):
+                yield t, r, np.full(len(r), i)
+            continue
+        lot.append((i, frames(x, rate)))
+        held += n
+        if held >= LOT:
             yield flush()
             lot, held = [], 0
     if lot:

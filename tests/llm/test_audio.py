@@ -23,18 +23,23 @@ def test_wave_files():
     x = tone(440, 0.1, 8000)
     for bits in (8, 16):
         rate, got = audio.samples(wave(x, 8000, bits))
-        assert rate == 8000 and np.abs(got - x).max() < 0.02
+        assert rate == 8000 and len(got) == len(x) and np.abs(got.part(0, len(x)) - x).max() < 0.02
+        assert np.abs(got.part(-5, len(x) + 5) - np.r_[np.zeros(5), x, np.zeros(5)]).max() < 0.02
     stereo = np.stack([x, -x], 1).ravel()
-    assert np.abs(audio.samples(wave(stereo, 8000, 16, 2))[1]).max() < 1e-3
+    assert np.abs(audio.samples(wave(stereo, 8000, 16, 2))[1].part(0, len(x))).max() < 1e-3
     for broken in (b"", b"RIFF", b"RIFFxxxxWAVE", wave(x, 8000)[:30], b"no wave at all, but long enough to be one"):
         assert audio.samples(broken) is None
 
 
+def resampled(x, rate):
+    return audio.resample(audio.Samples.of(x), rate, 0, audio.resampled_length(len(x), rate))
+
+
 def test_resampling_is_polyphase_convolution():
     rng = np.random.default_rng(0)
     for rate in (8000, 11_025, 22_050, 44_100, 48_000, 16_000):
         x = rng.normal(size=500).astype(np.float32)
-        y = audio.resample(x, rate)
+        y = resampled(x, rate)
         assert len(y) == math.ceil(500 * audio.RATE / rate)
         if rate == audio.RATE:
             continue
@@ -44,13 +49,15 @@ def test_resampling_is_polyphase_convolution():
             i = n * down // up
             want = sum(taps[n * down % up][j] * x[i + j - half + 1] for j in range(2 * half) if 0 <= i + j - half + 1 < 500)
             assert abs(y[n] - want) < 1e-4
+        for a, b in ((0, 3), (100, 101), (37, len(y)), (len(y) - 2, len(y) + 9), (len(y) + 1, len(y) + 4)):
+            assert np.allclose(audio.resample(audio.Samples.of(x), rate, a, b), np.r_[y, np.zeros(20)][a:b], atol=1e-5)
         t = tone(300, 0.5, rate).astype(np.float32)
-        assert np.abs(audio.resample(t, rate)[200:-200] - tone(300, 0.5, audio.RATE)[200 : len(audio.resample(t, rate)) - 200]).max() < 0.02
+        assert np.abs(resampled(t, rate)[200:-200] - tone(300, 0.5, audio.RATE)[200 : len(resampled(t, rate)) - 200]).max() < 0.02
 
 
 def test_log_mel_by_definition():
     x = np.random.default_rng(1).normal(size=900).astype(np.float32)
-    f = audio.frames(x)
+    f = audio.frames(audio.Samples.of(x), audio.RATE)
     assert f.shape == (math.ceil((900 - 400) / 160) + 1, 400)
     got = audio.log_mel(f)
     window, mel = audio.filters()
@@ -59,7 +66,7 @@ def test_log_mel_by_definition():
     assert np.allclose(got[2], np.log(np.maximum((np.abs(spectrum) ** 2) @ mel, 1e-10)), atol=1e-3)
     # a pure tone is loudest in the filter around it
     edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 8000 / 700), 42) / 2595) - 1)
-    band = audio.log_mel(audio.frames(tone(1000, 0.2, 16_000).astype(np.float32)))[5].argmax()
+    band = audio.log_mel(audio.frames(audio.Samples.of(tone(1000, 0.2, 16_000)), audio.RATE))[5].argmax()
     assert edges[band] < 1000 < edges[band + 2]
 
 
@@ -81,7 +88,7 @@ def test_segments_and_tensors(spark):
     quiet = np.zeros(16_000)
     clip = np.concatenate([quiet, tone(500, 0.5, 16_000), quiet, tone(2000, 1.0, 16_000)])
     media = spark.createDataFrame([(1, bytearray(wave(clip, 16_000))), (2, bytearray(wave(quiet, 16_000))), (3, None), (4, bytearray(b"")), (5, bytearray(b"junk")), (None, bytearray(wave(tone(300, 0.01, 8000), 8000))), (1, bytearray(wave(clip, 16_000)))], "doc_id long, audio binary")
-    got = audio.features(media.withColumn("mel", F.lit("clash"))).collect()
+    got = audio.features(media.withColumns({c: F.lit("clash") for c in ("mel", "segment", "window", "start_s", "n_frames", "id", "value")})).collect()
     assert {r.doc_id for r in got} == {1, None}
     one = sorted({(r.segment, r.window, round(r.start_s, 2), round(r.end_s, 2)) for r in got if r.doc_id == 1})
     assert {s for s, *_ in one} == {0, 1}
@@ -108,15 +115,42 @@ def test_arrow_tensors(spark, tmp_path):
             assert np.allclose(v.ravel(), whole[(i, w)])
 
 
+def test_long_clips_come_in_lots(monkeypatch):
+    """The same windows whether a clip is taken whole or a few frames at a time."""
+    rng = np.random.default_rng(4)
+    loud = np.repeat(rng.choice([0.0, 0.001, 0.4], size=40), 1600)
+    column = pa.array([wave(loud * rng.normal(size=len(loud)).clip(-1, 1), 22_050), wave(tone(500, 0.3, 8000), 8000), None, wave(loud, 16_000)], pa.binary())
+
+    def every():
+        out = []
+        for tensors, rows_, place in audio.clips(column):
+            out += [(int(i), *r, t.tobytes()) for t, r, i in zip(np.round(tensors, 2), rows_, place, strict=True)]
+        return sorted(out)
+
+    whole = every()
+    assert len({r[:2] for r in whole}) > 4
+    for lot in (audio.WINDOW, 100, 170):
+        monkeypatch.setattr(audio, "LOT", lot)
+        assert [r[:-1] for r in every()] == [r[:-1] for r in whole]
+        assert all(np.allclose(np.frombuffer(a[-1], np.float32), np.frombuffer(b[-1], np.float32), atol=0.05) for a, b in zip(every(), whole, strict=True))
+
+
 def test_query(spark, sf):
+    """Eight lines of a text are a segment, or several; windows by the definition."""
+    import re
+
     from quillon.llm.queries import QUERIES
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["op4_audio"](spark, sf).collect()
     assert {r.doc_id for r in got} == set(docs)
-    for r in got[:5]:
-        x = (np.frombuffer(docs[r.doc_id].encode(), np.uint8).astype(np.float32) - 128) / 128
-        f = audio.frames(audio.resample(x, 8000))
+    segments = {i: {r.segment for r in got if r.doc_id == i} for i in docs}
+    several = [i for i, t in docs.items() if any(len(x) > 400 for x in re.split(r"(?:[^\n]*\n){8}", t)[1:])]
+    assert several and all(len(segments[i]) > 1 for i in several)
+    for r in got[:5] + [r for r in got if r.segment > 0][:5]:
+        text = re.sub(r"((?:[^\n]*\n){8})", lambda m: m.group() + "\x7f" * 400, docs[r.doc_id])
+        x = (np.frombuffer(text.encode(), np.uint8).astype(np.float32) - 128) / 128
+        f = audio.frames(audio.Samples.of(x), 8000)
         db = 10 * np.log10(np.maximum((f * f).mean(1), 1e-12))
         a, _ = audio.hysteresis(db)[r.segment]
         a += r.window * audio.WINDOW
