@@ -1,7 +1,7 @@
 r"""Byte-pair encoding and decoding of long texts by tree concatenation.
 
-A text of more than ``LEAF`` bytes is halved until its parts are no longer than that; all parts of a batch of texts are
-encoded in parallel, and the encodings are joined upwards.  At a join a window of the last tokens of the left
+A text of more than ``LEAF`` bytes is halved until its parts are no longer than that; the parts are encoded, those of texts of
+``LONG`` bytes or more in parallel, and the encodings are joined upwards.  At a join a window of the last tokens of the left
 and the first of the right side is encoded anew; it grows until both sides agree with it exactly.
 
 What makes a join exact.  The vocabulary's pattern cuts a text into pieces before merging, and no piece holds a character
@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import blob, prepare
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The vocabulary, bytes of a leaf, tokens of a join's first window on either side, and threads of a task.
-VOCABULARY, LEAF, WINDOW, THREADS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 8192, 8, 2
+#: The vocabulary, bytes of a leaf, tokens of a join's first window on either side, bytes from which a text's parts are encoded in
+#: parallel, and threads for them; shorter texts, of which a task has many, are left to its own core.
+VOCABULARY, LEAF, WINDOW, LONG, THREADS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 8192, 8, 1 << 18, 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _INK = np.zeros(256, bool)
@@ -162,41 +163,28 @@ class Codec:
         return out
 
     def encode(self, texts: list[bytes], threads: int = THREADS) -> list[np.ndarray]:
-        """Tokens of each text; the leaves of all of them are encoded in parallel."""
-        with ThreadPoolExecutor(threads) as pool:
-            plans = [self.plan(t) for t in texts]
-            work: list[bytes] = []
-            split: list[list] = []
-            for text, plan in zip(texts, plans, strict=True):
-                own = []
-                for kind, a, b in plan:
-                    if kind == "run":
-                        own.append(None)
-                        continue
-
-                    def even(m: int, text: bytes = text) -> int:
-                        while m < len(text) and text[m] & 0xC0 == 0x80:  # between characters
-                            m += 1
-                        return m
-
-                    parts = self.leaves(a, b, even)
-                    own.append((parts, len(work)))
-                    work += [text[x:y] for x, y in parts]
-                split.append(own)
-            size = max(1, len(work) // (threads * 4))
-            runs = pool.map(lambda lot: [self.plain(w) for w in lot], [work[i : i + size] for i in range(0, len(work), size)])
-            done = [t for lot in runs for t in lot]
-            out = []
-            for text, plan, own in zip(texts, plans, split, strict=True):
-                found = []
-                for (kind, a, b), job in zip(plan, own, strict=True):
-                    if kind == "run":
-                        found += [self.encode_piece(p.group().encode(), pool.map) for p in self.pattern.finditer(text[a:b].decode())]
-                    else:
-                        parts, at = job
-                        found.append(self.tree(parts, done[at : at + len(parts)], self.join_text(text)))
-                out.append(found[0] if len(found) == 1 else np.concatenate(found))
-            return out
+        """Tokens of each text; the parts of long ones are encoded in parallel."""
+        if threads > 1 and any(len(t) >= LONG for t in texts):
+            with ThreadPoolExecutor(threads) as pool:
+                return [self.encode_text(t, pool.map if len(t) >= LONG else map) for t in texts]
+        return [self.encode_text(t, map) for t in texts]
+
+    def encode_text(self, text: bytes, each: Callable) -> np.ndarray:
+        """Tokens of one text; each applies a function to all leaves, in order."""
+
+        def even(m: int) -> int:
+            while m < len(text) and text[m] & 0xC0 == 0x80:  # between characters
+                m += 1
+            return m
+
+        found = []
+        for kind, a, b in self.plan(text):
+            if kind == "run":
+                found += [self.encode_piece(p.group().encode(), each) for p in self.pattern.finditer(text[a:b].decode())]
+            else:
+                parts = self.leaves(a, b, even)
+                found.append(self.tree(parts, list(each(lambda p: self.plain(text[p[0] : p[1]]), parts)), self.join_text(text)))
+        return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 _codecs: dict[tuple, Codec] = {}

@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import WORDS, prose, rows, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.llm import decontaminate
+from quillon.llm import common, decontaminate
 from quillon.llm.queries import QUERIES
 
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
@@ -47,7 +48,7 @@ def test_random_texts_equal_brute_force(spark):
     for least in (1, 2, 3, 5, 13):
         documents = [(i, "".join(r.choice(few) + r.choice([" ", ", ", "\n"]) for _ in range(r.randint(0, 30)))) for i in range(40)]
         items = [(i, " ".join(r.choice(few) for _ in range(r.randint(0, 8)))) for i in range(12)]
-        got = found(decontaminate.matches(table(spark, [(i, t, "en") for i, t in documents]), bench(spark, items), min_words=least))
+        got = found(decontaminate.matches(table(spark, [(i, t, "en") for i, t in documents]), bench(spark, items), min_words=least, least_words=1))
         assert got == brute(documents, items, least)
 
 
@@ -75,12 +76,38 @@ def test_shards_and_slices(spark, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, _ in documents} - {d for d, _ in whole}
 
 
+def test_short_items(spark):
+    """Items of eight words or more must occur whole; shorter ones, which any document may hold, remove nothing and are listed."""
+    eight = "what is the oldest bridge over this river"
+    docs = table(spark, [(1, f"yes, {prose(1, 30)}", "en"), (2, f"{prose(2, 20)} {eight}. {prose(3, 20)}", "en"), (3, f"{prose(4, 20)} {eight[:30]}", "en")])
+    items = [(1, "yes"), (2, eight), (3, eight[:18])]
+    assert set(found(decontaminate.matches(docs, bench(spark, items)))) == {(2, 2)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench(spark, items)).select("doc_id").collect()} == {1, 3}
+    assert rows(decontaminate.skipped(bench(spark, items))) == [(1, 1), (3, 4)]
+    assert set(found(decontaminate.matches(docs, bench(spark, items), least_words=1))) == {(1, 1), (2, 2), (2, 3), (3, 3)}
+
+
+def test_long_texts_come_in_windows(monkeypatch):
+    """The same matches whether a text is one shard or many windows."""
+    r = random.Random(5)
+    items = decontaminate.Items([1, 2, 3], [" ".join(r.choice(WORDS[:6]) for _ in range(n)) for n in (20, 45, 9)])
+    texts = [" ".join(r.choice(WORDS[:6]) for _ in range(400)) for _ in range(6)]
+    texts = [t + " " + items.text[k % 3].tobytes().decode() + " " + t[:300] + "é 天地" * 20 for k, t in enumerate(texts)]
+    data, offsets = common.blob(pa.array(texts))
+    whole = sorted(decontaminate.search(data, offsets, items, 4, 1))
+    assert len(whole) == 18
+    for size in (40, 333, 1000):
+        monkeypatch.setattr(decontaminate, "SHARD", size)
+        assert sorted(decontaminate.search(data, offsets, items, 4, 1)) == whole
+
+
 def test_edges(spark, edge, empty, edge_rows):
     items = [(1, prose(1)), (2, None), (3, ""), (4, "..."), (None, prose(9)), (5, "é"), (6, prose(6)[:120]), (1, prose(1))]
     got = found(decontaminate.matches(edge, bench(spark, items)))
-    want = brute([(i, t) for i, t, _ in edge_rows], [(i, t) for i, t in items if i is not None and i != 4], 13)
-    assert got == want and {d for d, _ in got} == {1, 5, 8, None}
-    assert decontaminate.clean(edge, bench(spark, items)).count() == edge.count() - 5
+    want = brute([(i, t) for i, t, _ in edge_rows], [(i, t) for i, t in items if i in (1, 6)], 13)
+    assert got == want and {d for d, _ in got} == {1, 5, None}
+    assert rows(decontaminate.skipped(bench(spark, items))) == sorted([(2, 0), (3, 0), (4, 0), (5, 1), (None, 120)], key=repr)
+    assert decontaminate.clean(edge, bench(spark, items)).count() == edge.count() - 4
     assert rows(decontaminate.matches(empty, bench(spark, items))) == [] and rows(decontaminate.matches(edge, bench(spark, []))) == []
     assert decontaminate.clean(edge, bench(spark, [])).count() == edge.count()
 
