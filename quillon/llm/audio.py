@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blob, prepare
+from quillon.llm.common import blob, filesystem, prepare
 
 RATE, FRAME, HOP, FFT, MELS, WINDOW = 16_000, 400, 160, 512, 40, 32
 #: Taps of each phase's filter on either side; hysteresis in decibels below the loudest frame, and the absolute floor.
@@ -265,8 +265,6 @@ def tensors(table: pa.Table, column: str = "mel") -> pa.Table:
 def store(rows: DataFrame, folder: str) -> DataFrame:
     """Write the windows as Arrow files of fixed-shape tensors, one a task, renamed into place when complete; the
     manifest (file, rows, bytes).  The folder must be one that all executors share."""
-    from quillon.llm.sstable import filesystem
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -4,7 +4,8 @@ A document's fingerprint has 128 bits: each bit is the majority, over its distin
 words' hashes.  Documents with equal fingerprints are one node.  Each of several tables samples coordinates
 at random; nodes that agree on a table's sample share a bucket.  A bucket above ``cap`` is divided by further
 coordinates until it fits, in as many independent ways as it takes for a pair at the radius to stay together in one of
-them with probability ``RECALL``; where that costs more than to compare all its pairs, all are compared.  Within a
+them with probability ``RECALL``; where that costs more than to compare all its pairs, all are compared.  One above ``MOST`` is
+divided so before it is shuffled, so that no task holds it.  Within a
 bucket or piece every pair's Hamming distance is verified, and what is verified leaves the bucket as a spanning star of each of its components, which keeps
 the output linear in the bucket.  Groups are the connected components.
 
@@ -15,18 +16,22 @@ an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, NO_WORD, U64, blob, components, cut, mix, prepare, span_hashes, stretches, words
+from quillon.llm.common import LOWER, NO_WORD, U64, blob, components, cut, filesystem, mix, own_folder, prepare, span_hashes, stretches, words, written
 
 BITS = 128
 #: Production parameters: Hamming radius, tables, sampled coordinates of a table, and largest undivided bucket.
 RADIUS, TABLES, SAMPLED, CAP, SEED = 20, 30, 14, 1024, 42
+#: Nodes of a bucket above which it is divided before it is shuffled; parts of the list of copies.
+MOST, PARTS = 1 << 16, 4096
 #: Share of the pairs at the radius that a divided bucket must keep; so 30 tables find 0.9 of them even if all are divided.
 RECALL = 0.9
 
@@ -198,9 +203,10 @@ def joined(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return least[root]
 
 
-def links(buckets: DataFrame, radius: int, cap: int, tables: int, sampled: int, seed: int) -> DataFrame:
-    """Verified edges (a, b) of all buckets: one shuffle by (table, bucket), then numpy over each bucket's whole run."""
+def links(nodes: DataFrame, radius: int, cap: int, tables: int, sampled: int, seed: int, most: int = MOST) -> DataFrame:
+    """Verified edges (a, b) of all buckets of the nodes (hi, lo, id): one shuffle by (table, bucket, way, piece), then numpy over the whole run of each."""
     order = coordinates(tables, seed)
+    buckets = divided(spread(nodes, tables, sampled, seed), nodes, tables, sampled, cap, radius, seed, most)
 
     def verify(table: int, prints: np.ndarray, ids: np.ndarray, out: list) -> None:
         if len(ids) <= cap:
@@ -222,16 +228,17 @@ def links(buckets: DataFrame, radius: int, cap: int, tables: int, sampled: int,
                 held.clear()
 
         for batch in batches:
-            table, bucket, hi, lo, ids = (batch.column(k).to_numpy() for k in range(5))
+            table, bucket, way, hi, lo, ids = (batch.column(k).to_numpy() for k in range(6))
             if not len(table):
                 continue
             prints = np.stack([hi, lo], 1)
-            first = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (bucket[1:] != bucket[:-1])])
+            first = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (bucket[1:] != bucket[:-1]) | (way[1:] != way[:-1])])
             for f, e in zip(first, np.r_[first[1:], len(table)], strict=True):
-                if held and (held[0][0], held[0][1]) != (table[f], bucket[f]):
+                key = (int(table[f]), int(bucket[f]), int(way[f]))
+                if held and held[0][1] != key:
                     close()
                 if e == len(table) or held:
-                    held.append((int(table[f]), int(bucket[f]), prints[f:e], ids[f:e]))
+                    held.append((int(table[f]), key, prints[f:e], ids[f:e]))
                 elif e - f > 1:
                     verify(int(table[f]), np.ascontiguousarray(prints[f:e]), ids[f:e], out)
             if out:
@@ -246,7 +253,49 @@ def links(buckets: DataFrame, radius: int, cap: int, tables: int, sampled: int,
         pairs = np.unique(np.stack([a, b], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return buckets.repartition("table", "bucket").sortWithinPartitions("table", "bucket").mapInArrow(run, "a long, b long")
+    return buckets.repartition("table", "bucket", "way").sortWithinPartitions("table", "bucket", "way").mapInArrow(run, "a long, b long")
+
+
+def divided(buckets: DataFrame, nodes: DataFrame, tables: int, sampled: int, cap: int, radius: int, seed: int, most: int) -> DataFrame:
+    """The buckets with a column ``way``: 0, or, where a bucket has more than ``most`` nodes, so that no task should hold it, one row for
+    each of several ways of dividing it before the shuffle, by as many further coordinates as bring it down to cap on average.
+    bucket then tells the
+    piece too.  Large buckets are counted, with partial sums before the shuffle, and joined; their number isn't bounded, so they aren't broadcast."""
+    plain = F.lit(0).cast("int").alias("way")
+    if nodes.count() <= most:  # no bucket can be larger
+        return buckets.select("table", "bucket", plain, "hi", "lo", "id")
+    large_ones = written(buckets.groupBy("table", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    if large_ones.isEmpty():
+        return buckets.select("table", "bucket", plain, "hi", "lo", "id")
+    rest = coordinates(tables, seed)[:, sampled:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                table, bucket, n, hi, lo, ids = (c.to_numpy() for c in whole.slice(a, 1024).columns)
+                bit = np.unpackbits(np.ascontiguousarray(np.stack([hi, lo], 1)).view(np.uint8), axis=1)
+                for t, b, size in np.unique(np.stack([table.astype(np.int64), bucket, n]), axis=1).T:
+                    mine = np.flatnonzero((table == t) & (bucket == b))
+                    depth, ways = division(int(size), cap, radius, sampled)
+                    rng = np.random.default_rng([seed, int(t), int(b)])
+                    for way in range(1, ways + 1):
+                        use = rng.permutation(rest[t])[:depth]
+                        piece = bit[mine][:, use] @ (1 << np.arange(depth, dtype=np.int64))
+                        same = np.full(len(mine), t, np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(same), pa.array(piece << sampled | b), pa.array(np.full(len(mine), way, np.int32)), *(pa.array(x[mine]) for x in (hi, lo, ids))], ["table", "bucket", "way", "hi", "lo", "id"])
+
+    on = ["table", "bucket"]
+    hot = buckets.join(large_ones, on).select("table", "bucket", "n", "hi", "lo", "id").mapInArrow(run, "table int, bucket long, way int, hi long, lo long, id long")
+    return buckets.join(large_ones.select(*on), on, "left_anti").select("table", "bucket", plain, "hi", "lo", "id").unionByName(hot)
+
+
+def division(n: int, cap: int, radius: int, sampled: int) -> tuple[int, int]:
+    """Further coordinates that bring n nodes down to half of cap on average, and in how many ways a pair at the radius, equal on the
+    sample, must be divided so to stay together in one with all but a third of the probability that RECALL leaves."""
+    depth = min(40, BITS - sampled - radius - 1, max(1, int(np.ceil(np.log2(2 * n / cap)))))
+    left = BITS - sampled
+    together = np.prod([(left - radius - j) / (left - j) for j in range(depth)])
+    return depth, max(1, int(np.ceil(np.log((1 - RECALL) / 3) / np.log(1 - together))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tables: int = TABLES, sampled: int = SAMPLED, cap: int = CAP, seed: int = SEED) -> DataFrame:
@@ -254,8 +303,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group; kept_doc_id is the group's least id, distance the Hamming distance of the two fingerprints (within a
     group linked by intermediate copies it may exceed the radius).  What isn't listed stays."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
-    roots = components(links(spread(nodes, tables, sampled, seed), radius, cap, tables, sampled, seed))
+    nodes = cut(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")))
+    roots = components(links(nodes, radius, cap, tables, sampled, seed))
     own = prints.join(nodes, ["hi", "lo"]).join(roots, F.col("id") == F.col("node"), "left")
     moved = own.select("doc_id", "hi", "lo", F.coalesce("root", "id").alias("kept_doc_id")).where("doc_id <> kept_doc_id").distinct()
     heads = nodes.join(moved.select(F.col("kept_doc_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("kept_doc_id"), F.col("hi").alias("h"), F.col("lo").alias("l"))
@@ -263,7 +312,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return moved.join(heads, "kept_doc_id").groupBy("doc_id").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.min_by(far, "kept_doc_id").cast("double").alias("distance"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
-    """The documents without those that near_duplicates lists; columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, **parameters).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def row_places(docs: DataFrame) -> DataFrame:
+    """The rows with where each stands: columns __file and __pos.  Rows that don't come from Parquet files are written to the shared
+    folder first."""
+    hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
+    known = any("row_index" in hidden.apply(i).dataType().json() for i in range(hidden.size()))
+    return (docs if known else written(docs)).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+
+
+def copies(placed: DataFrame, id_col: str, text_col: str, radius: int, tables: int, sampled: int, cap: int, seed: int) -> DataFrame:
+    """(__file, __pos) of every row but one of each group.  Texts stay where they are: only fingerprints and places are shuffled."""
+    prepare(placed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = blob(batch.column(3))
+            rows, prints = fingerprint(data, offsets)
+            plain = np.setdiff1d(np.flatnonzero(np.diff(offsets)), rows)  # texts without a word, if not empty: as they are
+            rest = np.array([np.frombuffer(hashlib.blake2b(data[offsets[i] : offsets[i + 1]].data, digest_size=16).digest(), np.int64) for i in plain], np.int64).reshape(-1, 2)
+            both = np.concatenate([rows, plain]).astype(np.int64)
+            hi, lo = np.concatenate([prints, rest]).T
+            worded = np.arange(len(both)) < len(rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(both)) for k in range(3)), pa.array(hi), pa.array(lo), pa.array(worded)], ["__file", "__pos", "id", "hi", "lo", "worded"])
+
+    rows = placed.select("__file", "__pos", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints = written(rows.mapInArrow(run, "__file string, __pos long, id long, hi long, lo long, worded boolean"))
+    kinds = ["hi", "lo", "worded"]
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "__file", "__pos")  # the least id stays, one without an id last
+    nodes = written(prints.groupBy(*kinds).agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    found = links(nodes.where("worded").select("hi", "lo", F.col("node").alias("id")), radius, cap, tables, sampled, seed)
+    every = nodes.join(components(found), "node", "left").withColumn("group", F.coalesce("root", "node"))
+    kept = every.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    gone = prints.join(every.join(kept, "group").select(*kinds, F.col("kept.__file").alias("f"), F.col("kept.__pos").alias("p")), kinds)
+    return gone.where("not (__file = f and __pos = p)").select("__file", "__pos")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tables: int = TABLES, sampled: int = SAMPLED, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """The documents with one row of each group, columns as they were: the one with the least id, of equal ids the first in the files.
+    Rows are what is grouped, so repeated rows of one id and copies without an id go too; so do exact copies of a text
+    without words; null and empty texts all stay.
+
+    What goes is written to the shared folder by file, and each task reads what concerns its own files: no text is shuffled, and
+    nothing is broadcast."""
+    placed = row_places(docs)
+    where = own_folder(docs.sparkSession, "copies")
+    gone = copies(placed, id_col, text_col, radius, tables, sampled, cap, seed)
+    # a folder a file of the input, or of several whose names hash alike
+    gone.withColumn("part", F.pmod(F.xxhash64("__file"), F.lit(PARTS))).repartition("part").sortWithinPartitions("part", "__file").write.partitionBy("part").parquet(where)
+    keep = [c for c in placed.columns if c not in ("__file", "__pos")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        system, base = filesystem(where)
+        held: dict[str, np.ndarray] = {}
+
+        def places(file: str, part: int) -> np.ndarray:
+            if file not in held:
+                held.clear()
+                folder = f"{base}/part={part}"
+                there = system.get_file_info(folder).type != fs.FileType.NotFound
+                held[file] = np.sort(pq.read_table(folder, columns=["__pos"], filters=[("__file", "=", file)], filesystem=system)["__pos"].to_numpy()) if there else np.zeros(0, np.int64)
+            return held[file]
+
+        for batch in batches:
+            file, pos = batch.column(batch.num_columns - 3), batch.column(batch.num_columns - 2).to_numpy()
+            part = batch.column(batch.num_columns - 1)
+            stay = np.ones(batch.num_rows, bool)
+            codes = file.dictionary_encode()
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                mine = np.flatnonzero(codes.indices.to_numpy() == k)
+                stay[mine] = ~np.isin(pos[mine], places(name, part[int(mine[0])].as_py()))
+            yield batch.select(list(range(batch.num_columns - 3))).filter(pa.array(stay))
+
+    return placed.select(*keep, "__file", "__pos", F.pmod(F.xxhash64("__file"), F.lit(PARTS)).alias("__part")).mapInArrow(run, docs.schema)

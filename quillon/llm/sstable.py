@@ -29,7 +29,6 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import U64, mix, own_folder, prepare
+from quillon.llm.common import U64, filesystem, mix, own_folder, prepare
 
 #: Bytes of a block before compression; Bloom bits a key and probes (1 % false positives); input bytes of a shard.
 BLOCK, BITS, HASHES, SHARD_BYTES = 64 << 10, 10, 7, 32 << 20
@@ -77,12 +76,6 @@ def probes(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(a + b * U64(i)) % U64(bits) for i in range(HASHES)])
 
 
-def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder's address and its path there."""
-    parts = urlparse(folder)
-    return (fs.LocalFileSystem(), parts.path) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
-
-
 class Writer:
     """One shard, written as entries arrive in key order."""
 

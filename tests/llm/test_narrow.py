@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quillon.llm import bpe, decontaminate, langid, licenses, quality, secrets
+from quillon.llm import bpe, decontaminate, langid, licenses, quality, secrets, simhash
 from quillon.llm.queries import QUERIES
 
 
@@ -19,7 +19,7 @@ def test_narrow_queries(spark, sf, name):
 
 def test_filters_are_narrow(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    for df in (quality.accepted(docs, None), decontaminate.clean(docs, bench), secrets.redact(docs), bpe.encode(docs), licenses.scan(docs), langid.identify(docs, langid.Model({"a": [b"x"]}))):
+    for df in (quality.accepted(docs, None), decontaminate.clean(docs, bench), secrets.redact(docs), simhash.deduplicate(docs), bpe.encode(docs), licenses.scan(docs), langid.identify(docs, langid.Model({"a": [b"x"]}))):
         assert shuffles(df) == []
 
 

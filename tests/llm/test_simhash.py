@@ -79,10 +79,24 @@ def test_edges(edge, empty):
     assert got == [(5, 1, 0)]  # repeated rows of one id are one document; null and empty texts are never grouped
     kept = simhash.deduplicate(edge)
     assert kept.columns == edge.columns
-    assert kept.count() == edge.count() - 1
+    assert sorted((r.doc_id or 0 for r in kept.collect())) == [0, 0, 1, 2, 3, 4, 7, 8, 9, 10]  # of rows with one id one stays
     assert rows(simhash.near_duplicates(empty)) == [] and simhash.deduplicate(empty).count() == 0
 
 
+def test_rows_are_what_goes(spark, tmp_path):
+    """One row of each group stays: the least id, none last; of equal ids the first in the files; texts without words by exact hash."""
+    same, marks = prose("same", 80), "*** --- ***"
+    docs = table(spark, [(None, same, "a"), (7, same, "b"), (5, same, "c"), (5, same, "d"), (9, marks, "e"), (8, marks, "f"), (None, marks, "g"), (3, "***", "h"), (1, "", "i"), (2, "", "j"), (4, None, "k"), (None, prose("x"), "l"), (None, prose("x"), "m")])
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    for read in (docs, spark.read.parquet(f"{tmp_path}/one")):
+        got = simhash.deduplicate(read)
+        assert got.columns == docs.columns
+        kept = {r.lang for r in got.collect()}
+        assert kept >= set("fhijk") and kept & set("cd") and len(kept & set("lm")) == 1 and len(kept) == 7
+    docs.repartition(5).write.parquet(f"{tmp_path}/several")
+    assert simhash.deduplicate(spark.read.parquet(f"{tmp_path}/several")).count() == 7
+
+
 def test_query(spark, sf):
     from quillon.llm.queries import QUERIES
 
@@ -114,10 +128,25 @@ def test_recall_in_buckets_above_the_cap(spark):
             row[rng.choice(free, rng.integers(17, simhash.RADIUS + 1), replace=False)] ^= 1
         p = np.packbits(np.concatenate([bit, twin]), axis=1).view(np.int64)
         nodes = spark.createDataFrame([(int(x), int(y), i) for i, (x, y) in enumerate(p)], "hi long, lo long, id long")
-        found = simhash.links(simhash.spread(nodes, 1, simhash.SAMPLED, simhash.SEED), simhash.RADIUS, 256, 1, simhash.SAMPLED, simhash.SEED)
-        root = {r.node: r.root for r in common.components(found).collect()}
         u = p.view(np.uint64)
         far = np.bitwise_count(u[:, None, 0] ^ u[None, :, 0]) + np.bitwise_count(u[:, None, 1] ^ u[None, :, 1])
         near = [(int(a), int(b)) for a, b in zip(*np.nonzero(far <= simhash.RADIUS), strict=True) if a < b]
         assert len(near) >= 2000
-        assert sum(root.get(a, a) == root.get(b, b) for a, b in near) >= 0.9 * len(near)
+        for most in (simhash.MOST, 1000):  # divided in one task, and before the shuffle
+            found = simhash.links(nodes, simhash.RADIUS, 256, 1, simhash.SAMPLED, simhash.SEED, most)
+            root = {r.node: r.root for r in common.components(found).collect()}
+            assert sum(root.get(a, a) == root.get(b, b) for a, b in near) >= 0.9 * len(near)
+
+
+def test_no_task_holds_a_large_bucket(spark):
+    rng = np.random.default_rng(9)
+    p = rng.integers(-(1 << 63), 1 << 63, (6000, 2), dtype=np.int64)
+    nodes = spark.createDataFrame([(int(x), int(y), i) for i, (x, y) in enumerate(p)], "hi long, lo long, id long")
+    whole = simhash.spread(nodes, 2, 1, 3)
+    got = simhash.divided(whole, nodes, 2, 1, 256, simhash.RADIUS, 3, 1000)
+    sizes = got.groupBy("table", "bucket", "way").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 256 and whole.groupBy("table", "bucket").count().agg({"count": "min"}).first()[0] > 1000
+    # every way has every node once
+    _, ways = simhash.division(3000, 256, simhash.RADIUS, 1)
+    each = got.groupBy("table", "way", "id").count()
+    assert each.where("count <> 1").isEmpty() and each.count() == 2 * ways * 6000
