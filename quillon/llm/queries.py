@@ -39,7 +39,7 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that hold a license notice."""
+    """Windows of lines of documents that hold a license notice."""
     return licenses.scan(documents(spark, sf_dir))
 
 
