@@ -23,7 +23,8 @@ large the table; all documents, whole, enter the counts.
 
 Defined results: null or empty texts have no candidates; rows with a null id are scanned and listed under a null
 doc_id; repeated rows are listed each; equal p-values are accepted or not together; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+result; other columns are ignored, whatever their names.  Texts are taken in pieces of ``LONG`` bytes, cut where no candidate is;
+a run longer than that is tested whole, and so are its parts within each ``LONG`` of its characters.
 """
 
 from __future__ import annotations
@@ -37,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blob, chunks, cut, prepare
+from quillon.llm.common import blob, char_counts, cut, prepare, stretches
 
 #: Lower edges of the length classes; least battery p-value of a secret; false-discovery rate; reference windows of each length.
 EDGES = np.array([16, 20, 24, 32, 40, 48, 64, 96, 128, 256])
 ALPHA, Q, REFERENCE = 1e-4, 0.01, 20_000
 BINS, MASK = 100, b"[SECRET]"
+#: Symbols that are tested at once, and bytes of a long text that are taken at once.
+LONG = 1 << 20
 #: Sets of characters that may separate a secret from what it is joined to; the first has all.
 SPLITS = [b"+/_-", b"_-", b"+/", b"-", b"_", b"/"]
 NAMES = ["hex", "base32", "upper36", "lower36", "upper", "lower", "letters", "base62", "base64", "base64url", "digits"]
@@ -57,6 +60,9 @@ for _k, _a in enumerate(_ALPHABETS):
 VALUES[0, 65:71] = np.arange(10, 16)
 RUN = np.zeros(256, bool)
 RUN[list(_UP + _LOW + _DIGIT + b"+/_-")] = True
+#: Where a text may be cut: behind what is no part of a candidate.
+BREAK = ~RUN
+BREAK[61] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[list(_UP + _LOW + _DIGIT)] = True
 
@@ -92,33 +98,76 @@ def normal_tail(z: np.ndarray) -> np.ndarray:
 
 
 def battery(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(encoding, p-values (n, 3)) of tokens that stand one after another in data."""
+    """(encoding, p-values (n, 3)) of tokens that stand one after another in data; those of more than LONG symbols one by one, the
+    others in lots of about as many."""
+    if len(data) <= LONG:
+        return battery_of_lot(data, first)
+    bounds = np.r_[first, len(data)]
+    kind, p = np.zeros(len(first), np.int64), np.zeros((len(first), 3))
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + LONG, "right")) - 1)
+        part = data[bounds[a] : bounds[b]]
+        kind[a:b], p[a:b] = battery_of_one(part) if len(part) > LONG else battery_of_lot(part, first[a:b] - bounds[a])
+        a = b
+    return kind, p
+
+
+def battery_of_lot(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tests from sums over whole arrays."""
     kind = encodings(data, first)
     n = np.diff(np.r_[first, len(data)])
     token = np.repeat(np.arange(len(first)), n)
     value = VALUES[kind[token], data]
     size = SIZES[kind]
-    # chi-squared, by a gamma of the same mean and variance and Wilson and Hilferty's cube root
     counts = np.bincount(token * 64 + value, minlength=len(first) * 64).reshape(-1, 64)
+    high = value * 2 >= size[token]
+    turn = np.r_[False, (high[1:] != high[:-1]) & (token[1:] == token[:-1])]
+    centred = value - (np.add.reduceat(value, first) / n)[token]
+    product = np.r_[centred[:-1] * centred[1:], 0]
+    product[np.r_[first[1:], len(data)] - 1] = 0
+    return kind, p_values(n, size, counts, np.add.reduceat(turn, first, dtype=np.int64), np.add.reduceat(high, first, dtype=np.int64), np.add.reduceat(product, first), np.add.reduceat(centred * centred, first))
+
+
+def battery_of_one(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one long token, block by block, so that memory doesn't grow with it."""
+    seen = np.zeros(256, np.int64)
+    for a in range(0, len(data), LONG):
+        seen += np.bincount(data[a : a + LONG], minlength=256)
+    there = np.flatnonzero(seen).astype(np.uint8)
+    kind = encodings(there, np.array([0]))
+    size, n = SIZES[kind], len(data)
+    counts = np.zeros((1, 64), np.int64)
+    np.add.at(counts[0], VALUES[kind[0], there], seen[there])
+    mean = float((counts[0] * np.arange(64)).sum() / n)
+    turns = above = 0
+    product = square = 0.0
+    for a in range(0, n, LONG):
+        value = VALUES[kind[0], data[a : a + LONG + 1]]  # one symbol of the next block, for its neighbour
+        own = value[: LONG]
+        high = value * 2 >= size[0]
+        turns += int((high[1:] != high[:-1]).sum())
+        above += int(high[: len(own)].sum())
+        centred = value - mean
+        product += float((centred[:-1] * centred[1:]).sum())
+        square += float((centred[: len(own)] ** 2).sum())
+    return kind, p_values(np.array([n]), size, counts, np.array([turns]), np.array([above]), np.array([product]), np.array([square]))
+
+
+def p_values(n: np.ndarray, size: np.ndarray, counts: np.ndarray, turns: np.ndarray, above: np.ndarray, product: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """(tokens, 3): of tokens with so many symbols, of alphabets of such sizes, from what is counted of them."""
+    # chi-squared, by a gamma of the same mean and variance and Wilson and Hilferty's cube root
     chi = (counts * counts).sum(1) * size / n - n
     shape = (size - 1) / (2 * (n - 1) / n)
     p_chi = normal_tail((np.cbrt(chi / (size - 1)) - (1 - 1 / (9 * shape))) * 3 * np.sqrt(shape))
     # runs above and below the middle
-    high = value * 2 >= size[token]
-    turn = np.r_[False, (high[1:] != high[:-1]) & (token[1:] == token[:-1])]
-    runs = np.add.reduceat(turn, first, dtype=np.int64) + 1
-    above = np.add.reduceat(high, first, dtype=np.int64)
     mean = 2 * above * (n - above) / n
     spread = np.sqrt(np.maximum(mean * (mean - 1) / (n - 1), 0))
-    p_runs = np.where(spread > 0, 2 * normal_tail(np.abs(runs - 1 - mean) / np.where(spread > 0, spread, 1)), 0)
+    p_runs = np.where(spread > 0, 2 * normal_tail(np.abs(turns - mean) / np.where(spread > 0, spread, 1)), 0)
     # serial correlation of neighbours
-    centred = value - (np.add.reduceat(value, first) / n)[token]
-    product = np.r_[centred[:-1] * centred[1:], 0]
-    product[np.r_[first[1:], len(data)] - 1] = 0
-    square = np.add.reduceat(centred * centred, first)
-    r = np.where(square > 0, np.add.reduceat(product, first) / np.where(square > 0, square, 1), 1)
+    r = np.where(square > 0, product / np.where(square > 0, square, 1), 1)
     p_serial = np.where(square > 0, 2 * normal_tail(np.abs(r + 1 / n) * np.sqrt(n)), 0)
-    return kind, np.clip(np.stack([p_chi, p_runs, p_serial], 1), 0, 1)
+    return np.clip(np.stack([p_chi, p_runs, p_serial], 1), 0, 1)
 
 
 def cells(kind: np.ndarray, p: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -141,6 +190,8 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     """The spans one after another, and where each begins."""
     size = ends - starts
     first = np.r_[0, np.cumsum(size)[:-1]]
+    if len(size) and size.sum() > 256 * len(size):  # few long ones
+        return (data[starts[0] : ends[0]] if len(size) == 1 else np.concatenate([data[s:e] for s, e in zip(starts, ends, strict=True)])), first
     return data[np.repeat(starts - first, size) + np.arange(size.sum())], first
 
 
@@ -157,8 +208,8 @@ def chains(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for beyond in (_UP + _LOW[6:], _LOW + _UP[6:]):
         other = np.zeros(256, bool)
         other[list(beyond)] = True
-        total = np.r_[0, np.cumsum(other[flat])]
-        hexa = total[ends] == total[starts]
+        edge = np.stack([starts, ends], 1).ravel()
+        hexa = ~np.logical_or.reduceat(other[flat], edge[:-1] if edge[-1] == len(flat) else edge)[::2]
         first = np.flatnonzero(hexa & ~(joined & np.r_[False, hexa[:-1]]))
         last = np.flatnonzero(hexa & ~np.r_[joined[1:] & hexa[1:], False])
         use = (last > first) & (digits[last + 1] - digits[first] >= EDGES[0])
@@ -210,20 +261,26 @@ def tested(data: np.ndarray, offsets: np.ndarray, divided: bool = True) -> tuple
     starts, ends = runs_of(RUN[data], offsets)
     long = ends - starts >= EDGES[0]
     starts, ends = starts[long], ends[long]
-    if not len(starts):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, np.zeros((0, 3)), empty, empty
-    token, first = gather(data, starts, ends)
-    number, whole = np.arange(len(starts)), len(starts)
-    if divided:
-        of, s, e, symbols, begin = parts(data, starts, ends)
-        number, starts, ends = np.r_[number, of], np.r_[starts, s], np.r_[ends, e]
-        token, first = np.r_[token, symbols], np.r_[first, len(token) + begin]
-    kind, p = battery(token, first)
+    empty = np.zeros(0, np.int64)
+    found = [(empty, empty, empty, np.zeros((0, 3)), empty, empty)]  # start, end, encoding, p-values, cell, number
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + LONG, "right")))
+        own_starts, own_ends, number = starts[a:b], ends[a:b], np.arange(a, b)
+        kind, p = battery(*gather(data, own_starts, own_ends))
+        found.append((own_starts, own_ends, kind, p, cells(kind, p, own_ends - own_starts), number))
+        if divided:
+            # the parts of a very long run are those within each LONG of its characters in turn
+            for low in range(int(own_starts[0]), int(own_ends[0]), LONG) if ends[a] - starts[a] > LONG else (None,):
+                pieces = (own_starts, own_ends) if low is None else (np.array([low]), np.array([min(low + LONG, int(own_ends[0]))]))
+                of, s, e, symbols, begin = parts(data, *pieces)
+                if len(s):
+                    kind, p = battery(symbols, begin)
+                    found.append((s, e, kind, p, cells(kind, p, np.diff(np.r_[begin, len(symbols)])) + CELLS, number[of]))
+        a = b
+    starts, ends, kind, p, cell, number = (np.concatenate(x) for x in zip(*found, strict=True))
     use = NAMES.index("digits") != kind
     row = np.searchsorted(offsets, starts, "right") - 1
-    cell = cells(kind, p, np.diff(np.r_[first, len(token)]))
-    cell[whole:] += CELLS
     limit = offsets[1:][row]
     for _ in range(2):
         more = (ends < limit) & (data[np.minimum(ends, len(data) - 1)] == 61) & ((kind == 7) | (kind == 8) | (kind == 9))
@@ -237,10 +294,8 @@ def ordinary(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     short = ends - starts < EDGES[0]
     group, over = chains(data, offsets)
     if len(group):  # groups of hexadecimal are candidates
-        inside = np.zeros(len(data) + 1, np.int64)
-        np.add.at(inside, group, 1)
-        np.add.at(inside, over, -1)
-        short &= np.cumsum(inside)[starts] == 0
+        before = np.searchsorted(group, starts, "right") - 1
+        short &= (before < 0) | (starts >= np.maximum.accumulate(over)[np.maximum(before, 0)])
     starts, ends = starts[short], ends[short]
     if not len(starts):
         return np.zeros(0, np.int64)
@@ -317,19 +372,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         names = [x.split()[0] for x in FOUND.split(", ")] + ["count"]
         for batch in batches:
             data, offsets = blob(batch.column(1))
-            for a, b in chunks(offsets, 1 << 20):
-                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            chars = 0  # of a long text, before the piece
+            for a, b, low, high in stretches(offsets, data, BREAK, LONG):
+                part, own = data[low:high], np.clip(offsets[a : b + 1], low, high) - low
                 if not len(part):
                     continue
-                null += np.bincount(ordinary(part, own), minlength=len(null))
+                if low == offsets[a]:
+                    chars = 0
+                for x, y, start, end in stretches(own, part, ~ALNUM, LONG):
+                    null += np.bincount(ordinary(part[start:end], np.clip(own[x : y + 1], start, end) - start), minlength=len(null))
                 row, start, end, kind, p, cell, number = tested(part, own)
                 if len(row):
                     number += runs
                     runs = int(number.max()) + 1
-                    char = np.r_[0, np.cumsum((part & 0xC0) != 0x80)]
-                    base = char[own[row]]
+                    edge = np.unique(np.concatenate([start, end, own[row]]))
+                    char = char_counts(part, edge)
+                    place = lambda x: char[np.searchsorted(edge, x)]  # noqa: B023, E731
+                    base = place(own[row]) - chars
                     ids = batch.column(0).take(pa.array(a + row))
-                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(x).cast(t) for x, t in zip((char[start] - base, char[end] - base, kind, p[:, 0], p[:, 1], p[:, 2], cell, number), types[1:9], strict=True)), pa.nulls(len(row), pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(x).cast(t) for x, t in zip((place(start) - base, place(end) - base, kind, p[:, 0], p[:, 1], p[:, 2], cell, number), types[1:9], strict=True)), pa.nulls(len(row), pa.int64())], names)
+                if high < offsets[b]:
+                    chars += int(char_counts(part, np.array([len(part)]))[0])
         at = np.flatnonzero(null)
         nothing = [pa.nulls(len(at), t) for t in types[:7]]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(at).cast(pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(null[at])], names)
@@ -382,21 +445,24 @@ def redact(docs: DataFrame, text_col: str = "text", q: float = Q, alpha: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = blob(batch.column(at))
-            changed: dict[int, bytes] = {}
-            for a, b in chunks(offsets, 1 << 20):
-                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for a, b, low, high in stretches(offsets, data, BREAK, LONG):
+                part, own = data[low:high], np.clip(offsets[a : b + 1], low, high) - low
                 if not len(part):
                     continue
                 row, start, end, _, _, cell, _ = tested(part, own)
                 hit = np.isin(cell, good)
                 start, end = merged(start[hit], end[hit])
                 row = np.searchsorted(own, start, "right") - 1
-                for r in np.unique(row):
-                    out, last = [], own[r]
-                    for s, e in zip(start[row == r], end[row == r], strict=True):
-                        out += [part[last:s].tobytes(), mask]
-                        last = e
-                    changed[int(a + r)] = b"".join([*out, part[last : own[r + 1]].tobytes()])
+                for r, s, e in zip(row.tolist(), (start + low).tolist(), (end + low).tolist(), strict=True):
+                    spans.setdefault(a + r, []).append((s, e))
+            changed: dict[int, bytes] = {}
+            for r, found in spans.items():
+                out, last = [], int(offsets[r])
+                for s, e in found:
+                    out += [data[last:s].tobytes(), mask]
+                    last = e
+                changed[r] = b"".join([*out, data[last : offsets[r + 1]].tobytes()])
             if changed:
                 rows = sorted(changed)
                 mark = np.zeros(batch.num_rows, bool)

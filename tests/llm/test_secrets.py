@@ -3,9 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import WORDS, prose, rows, table
 
-from quillon.llm import secrets
+from quillon.llm import common, secrets
 from quillon.llm.queries import QUERIES
 
 ALPHABETS = dict(zip(secrets.NAMES, secrets._ALPHABETS, strict=True))
@@ -166,3 +167,37 @@ def test_joined_secrets(spark):
     clean = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
     assert {i for i in made if made[i] not in clean[i]} == hit
     assert all("internationalization-of-applications and/or-the_other/way-around" in t for t in clean.values())
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    """The same candidates whether a text is taken whole or in pieces; a long token's tests are the same block by block."""
+    r = random.Random(2)
+    code = lambda n, a: "".join(chr(c) for c in r.choices(ALPHABETS[a], k=n))
+    words = lambda n: " ".join(r.choices(WORDS, k=n))
+    texts = ["".join(f"{words(r.randint(1, 40))} é {r.choice(['key-', 'a/b/', ''])}{code(r.choice([20, 40, 64]), r.choice(['hex', 'base62', 'base64']))}= " for _ in range(12)) for _ in range(5)] + ["", words(30)]
+    data, offsets = common.blob(pa.array(texts))
+    whole = secrets.tested(data, offsets)
+    for size in (64, 200, 900):
+        got = []
+        for a, b, low, high in common.stretches(offsets, data, secrets.BREAK, size):
+            row, start, end, kind, p, cell, _ = secrets.tested(data[low:high], np.clip(offsets[a : b + 1], low, high) - low)
+            got += list(zip((a + row).tolist(), (low + start).tolist(), (low + end).tolist(), kind.tolist(), p.round(6).tolist(), cell.tolist(), strict=True))
+        assert sorted(got) == sorted(zip(*(whole[0].tolist(), whole[1].tolist(), whole[2].tolist(), whole[3].tolist(), whole[4].round(6).tolist(), whole[5].tolist()), strict=True))
+    tokens = [code(5000, a) for a in ("hex", "base62", "base64", "upper36")] + ["z" * 3000, "ab" * 2000, code(50, "hex")]
+    flat = np.frombuffer("".join(tokens).encode(), np.uint8)
+    first = np.r_[0, np.cumsum([len(t) for t in tokens])[:-1]]
+    kind, p = secrets.battery(flat, first)
+    monkeypatch.setattr(secrets, "LONG", 700)
+    kind2, p2 = secrets.battery(flat, first)
+    assert (kind == kind2).all() and np.allclose(p, p2, atol=1e-6)
+
+
+def test_a_very_long_run(spark, monkeypatch):
+    """A run far longer than a piece: found whole, masked whole, and a key joined to it is found as a part."""
+    monkeypatch.setattr(secrets, "LONG", 500)
+    r = random.Random(3)
+    run = "".join(chr(c) for c in r.choices(ALPHABETS["base64"], k=4000))
+    data, offsets = common.blob(pa.array([f"x {run} y"]))
+    row, start, end, *_, cell, number = secrets.tested(data, offsets)
+    assert (start[0], end[0]) == (2, 4002) and (cell[1:] >= secrets.CELLS).all() and set(number.tolist()) == {0}
+    assert all(0 <= s < e <= 4004 for s, e in zip(start, end, strict=True))
