@@ -15,7 +15,7 @@ Production takes sentences: a copied passage seldom begins where a line does, an
 
 Defined results: a null or empty text has no units; rows with a null id are left out; the rank is the id unless a
 column is named, and ties of rank go to the lesser id, then the earlier place; rows of one id with other texts are
-documents of their own, those that repeat id and text are one document: what it keeps, each of them keeps; an empty table
+documents of their own, those that repeat id and text are one document: where rows of one id tie in place too, all stay; an empty table
 gives an empty result; other columns are ignored, whatever their names; a text of any length is taken in pieces.
 """
 
@@ -32,6 +32,8 @@ from quillon.llm.common import LOWER, NO_WORD, U64, blob, char_counts, mix, powe
 
 #: The unit, and the least number of words of a run of repeats that is removed.
 UNIT, MIN_WORDS = "sentence", 13
+#: A digest that so many times its occurrences are all units is joined without a shuffle; no more than HOT digests can be such.
+HOT = 10_000
 _A, _B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
@@ -121,18 +123,21 @@ def digests(data: np.ndarray, offsets: np.ndarray, unit: str) -> Iterator[tuple[
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, unit: str = UNIT) -> DataFrame:
-    """(rank, doc_id, row, unit, nth, start, end, n, so_far, h1, h2), row being a hash of the text: one narrow pass over the texts."""
+    """(rank, doc_id, row, unit, nth, start, end, n, so_far, h1, h2), row being a hash of the text, rank only where a column is named:
+    one narrow pass over the texts."""
     prepare(docs.sparkSession)
-    names = ["rank", "doc_id", "row", "unit", "nth", "start", "end", "n", "so_far", "h1", "h2"]
+    keys = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row")]
+    if rank_col:  # a null rank comes last
+        keys.insert(0, F.coalesce(F.col(rank_col).cast("long"), F.lit((1 << 63) - 1)).alias("rank"))
+    rows = docs.select(*keys, F.col(text_col).alias("text")).where("doc_id is not null")
+    names = [*rows.columns[:-1], "unit", "nth", "start", "end", "n", "so_far", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank, ids, text = (batch.column(j).to_numpy(zero_copy_only=False) for j in (0, 1, 2))
-            for row, *rest in digests(*blob(batch.column(3)), unit):
-                yield pa.RecordBatch.from_arrays([pa.array(x[row], pa.int64()) for x in (rank, ids, text)] + [pa.array(x, pa.int64()) for x in rest], names)
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            for row, *rest in digests(*blob(batch.column(batch.num_columns - 1)), unit):
+                yield pa.RecordBatch.from_arrays([pa.array(x[row], pa.int64()) for x in own] + [pa.array(x, pa.int64()) for x in rest], names)
 
-    rank = F.coalesce(F.col(rank_col).cast("long"), F.lit((1 << 63) - 1)) if rank_col else F.col(id_col).cast("long")
-    rows = docs.select(rank.alias("rank"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -140,18 +145,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     """(doc_id, unit, start, end, kept_doc_id, kept_start) of every unit to remove.
 
     Units are written once to the shared folder as narrow rows.  Their digests are grouped; those that occur once
-    drop out; the rest join back, and AQE splits what is skewed.  Runs are found among the repeats alone."""
+    drop out; the rest join back, those that are everywhere without a shuffle.  Runs are found among the repeats alone."""
     found = _found(docs, id_col, text_col, rank_col, unit, min_words)
     return found.select("doc_id", "unit", "start", "end", "kept_doc_id", "kept_start")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None, unit: str, min_words: int) -> DataFrame:
     unit_marks(np.zeros(0, np.uint8), np.zeros(0, np.int64), unit)  # the name is checked before anything runs
+    order = ["rank", "doc_id", "start"] if rank_col else ["doc_id", "start"]  # without a rank of its own, the id is the rank
     every = written(units(docs, id_col, text_col, rank_col, unit))
-    place = F.struct("rank", "doc_id", "start", "row")
-    first = every.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.count("*").alias("n_all")).where("n_all > 1").select("h1", "h2", F.col("f.rank").alias("r"), F.col("f.doc_id").alias("kept_doc_id"), F.col("f.start").alias("kept_start"), F.col("f.row").alias("kept_row"))
-    both = every.join(first, ["h1", "h2"]).where("not (rank = r and doc_id = kept_doc_id and start = kept_start and row = kept_row)")
-    own = ["doc_id", "rank", "row"]
+    first = every.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("f"), F.count("*").alias("times")).where("times > 1")
+    first = written(first.select("h1", "h2", "times", *(F.col(f"f.{c}").alias(f"kept_{c}") for c in order)))
+    # digests that are everywhere, of which there are HOT at most, are joined where their units are; the others are shuffled
+    hot = F.broadcast(first.where(F.col("times") * HOT >= every.count()))
+    rest = every.join(hot, ["h1", "h2"], "left_anti").join(first, ["h1", "h2"])
+    both = every.join(hot, ["h1", "h2"]).unionByName(rest)
+    both = both.where("not (" + " and ".join(f"{c} = kept_{c}" for c in order) + ")").drop("h1", "h2", "times")
+    own = ["doc_id", *order[:-2], "row"]
     run = both.withColumn("run", F.col("nth") - F.dense_rank().over(Window.partitionBy(*own).orderBy("nth")))
     whole = Window.partitionBy(*own, "run")
     size = F.max("so_far").over(whole) - F.min(F.col("so_far") - F.col("n")).over(whole)
