@@ -4,6 +4,8 @@ vectorised words and hashes, and connected components.
 Conventions that hold for every operator:
 
 * input columns are named by parameters and everything else is ignored, so extra columns never clash;
+* identifiers are integers; a table whose identifiers are addresses or other strings needs a column of numbers first (a cast that
+  fails is an error, not a lost row);
 * a null text counts as an empty one unless an operator says otherwise;
 * texts are always processed whole; batches are cut into chunks of about ``CHUNK`` bytes only to bound
   memory, and a text longer than that is taken in pieces, cut where it changes nothing, whose results are put
@@ -13,6 +15,7 @@ Conventions that hold for every operator:
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,13 +41,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, where that is unset (tests on one
-    machine), a temporary one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, where that is unset and one machine does it all
+    (tests), a temporary one of our own.  A cluster has to name one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return sc.getCheckpointDir()
 

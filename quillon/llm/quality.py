@@ -18,7 +18,9 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ WIDTH, FILTERS, BLOCK, HIDDEN = 6, 48, 512, 16
 #: Labelled rows of each class (the bound of the training sample), passes over them, steps at least (a small sample gets more
 #: passes), and the least probability of an accepted text.
 SAMPLE, EPOCHS, STEPS, THRESHOLD, SEED = 1500, 18, 500, 0.75, 7
+#: Threads of the driver that training takes.
+THREADS = 8
 #: Bytes that are convolved at once: blocks that fit a processor's cache.
 LOT = 64 * BLOCK
 
@@ -199,23 +203,24 @@ def fit(texts: list[bytes], reject: np.ndarray, epochs: int = EPOCHS, seed: int
     weight = np.where(reject, 0.5 / reject.mean(), 0.5 / (1 - reject.mean())).astype(np.float32)
     step = 0
     epochs = max(epochs, -(-STEPS // -(-len(texts) // 64)))
-    for epoch in range(epochs):
-        rate = 0.01 * (1 - epoch / epochs) + 0.0005
-        perm = rng.permutation(len(texts))
-        for a in range(0, len(texts), 64):
-            rows = perm[a : a + 64]
-            grad = gradient(net, [texts[i] for i in rows], ~reject[rows], weight[rows])
-            step += 1
-            for k, g in grad.items():
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                net.p[k] -= (rate * (0.3 if k == "filters" else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    with ThreadPoolExecutor(max(1, min(THREADS, os.cpu_count() or 1))) as pool:  # numpy lets go of the interpreter's lock
+        for epoch in range(epochs):
+            rate = 0.01 * (1 - epoch / epochs) + 0.0005
+            perm = rng.permutation(len(texts))
+            for a in range(0, len(texts), 64):
+                rows = perm[a : a + 64]
+                grad = gradient(net, [texts[i] for i in rows], ~reject[rows], weight[rows], pool.map)
+                step += 1
+                for k, g in grad.items():
+                    m, v = moment[k]
+                    m += 0.1 * (g - m)
+                    v += 0.01 * (g * g - v)
+                    net.p[k] -= (rate * (0.3 if k == "filters" else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net.freeze()
 
 
-def gradient(net: Network, texts: list[bytes], keep: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean loss of a few texts."""
+def gradient(net: Network, texts: list[bytes], keep: np.ndarray, weight: np.ndarray, each: Callable = map) -> dict[str, np.ndarray]:
+    """Gradient of the mean loss of a few texts; each applies the convolution to lots of blocks, which may be in parallel."""
     p, n = net.p, net.p["bias"].shape[0]
     size = np.array([len(t) for t in texts])
     count = (size + BLOCK - 1) // BLOCK
@@ -228,15 +233,27 @@ def gradient(net: Network, texts: list[bytes], keep: np.ndarray, weight: np.ndar
     room = np.full(count.sum(), BLOCK)
     room[base[1:] - 1] = size - (count - 1) * BLOCK
     top, where = np.empty((len(padded), n), np.float32), np.empty((len(padded), n), np.int64)
-    for c in range(0, len(padded), 32):  # few blocks at a time stay in the processor's cache
-        lot = padded[c : c + 32].astype(np.int64)
-        out = p["filters"][0].take(lot[:, :BLOCK], 0)
-        for j in range(1, WIDTH):
-            out += p["filters"][j].take(lot[:, j : j + BLOCK], 0)
+
+    # adjacent filter columns as tables over the pairs of bytes that occur
+    two = padded[:, :-1].astype(np.int32) << 8 | padded[:, 1:]
+    there = np.zeros(1 << 16, bool)
+    there[two] = True
+    pairs = np.flatnonzero(there)
+    code = np.zeros(1 << 16, np.int32)
+    code[pairs] = np.arange(len(pairs))
+    tables = [p["filters"][j][pairs >> 8] + p["filters"][j + 1][pairs & 255] for j in range(0, WIDTH, 2)]
+
+    def pool(c: int) -> None:
+        lot = code[two[c : c + 32]]
+        out = tables[0].take(lot[:, :BLOCK], 0)
+        for j in range(1, WIDTH // 2):
+            out += tables[j].take(lot[:, 2 * j : 2 * j + BLOCK], 0)
         for i in np.flatnonzero(room[c : c + 32] < BLOCK):  # positions beyond a text's end never win
             out[i, room[c + i] :] = -np.inf
         where[c : c + 32] = out.argmax(1)
         top[c : c + 32] = np.take_along_axis(out, where[c : c + 32, None, :], 1)[:, 0]
+
+    list(each(pool, range(0, len(padded), 32)))  # few blocks at a time stay in a processor's cache
     row = np.repeat(np.arange(len(texts)), count)
     x = net.features(top, row)
     h = x @ p["hidden"] + p["hidden_bias"]

@@ -89,13 +89,14 @@ def digests(data: np.ndarray, offsets: np.ndarray, unit: str) -> Iterator[tuple[
             if not len(use):
                 continue
             row = np.searchsorted(own, starts, "right") - 1
-            char = np.r_[0, np.cumsum((part & 0xC0) != 0x80)]
-            base = char[own[row[use]]]
+            bounds = np.r_[0, ends]
+            char = char_counts(part, bounds)
+            base = char[np.searchsorted(bounds, own[row[use]])]
             number = use - np.searchsorted(row, row[use])
             first = np.searchsorted(row[use], row[use])
             total = np.cumsum(count[use])
             so_far = total - (total - count[use])[first]
-            yield a + row[use], number, np.arange(len(use)) - first, char[starts[use]] - base, char[ends[use]] - base, count[use], so_far, *(mix(p[use] + count[use].astype(U64)).view(np.int64) for p in pair)
+            yield a + row[use], number, np.arange(len(use)) - first, char[use] - base, char[use + 1] - base, count[use], so_far, *(mix(p[use] + count[use].astype(U64)).view(np.int64) for p in pair)
             continue
         # a piece of one long row: its first unit may have begun before, its last may go on
         if low == offsets[a]:
