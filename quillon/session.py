@@ -26,9 +26,16 @@ def session(name: str = "quillon", master: str | None = None, **settings: str) -
     return builder.getOrCreate()
 
 
+#: Bytes of a table, as its files tell, above which its rows aren't dealt out anew.
+SMALL = 64 << 20
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """A table as it was read, its rows dealt out anew if it came in fewer parts than there are cores, as a small file of one
-    row group does; for work that costs far more than moving the rows.  A table of many files isn't touched."""
+    """A small table as it was read, its rows dealt out anew if it came in fewer parts than there are cores, as a file of one
+    row group does; for work that costs far more than moving the rows.  A table of more than SMALL bytes is never moved."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    parts = table._jdf.queryExecution().toRdd().getNumPartitions()  # a scan has no stage to run for this
+    plan = table._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return table
+    parts = plan.toRdd().getNumPartitions()  # a scan has no stage to run for this
     return table.repartition(cores) if parts < cores else table
