@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.workspace import shared_folder
+
 
 def neighbour_sets(links: DataFrame, source: str, target: str) -> DataFrame:
     """(v, neighbours): of both directions, each once, ascending; no loops."""
@@ -49,8 +50,7 @@ def layout(edges: DataFrame, iterations: int = 10, max_delta: float | None = Non
 
     Repulsion needs all pairs, which a cross join gives in parallel; lineage is cut in the checkpoint folder every round."""
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-layout-"))
+    shared_folder(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = e.union(e.select("b", "a")).distinct()
     now = (places or start_layout(e.select(F.col("a").alias("v")), "v", seed)).checkpoint()

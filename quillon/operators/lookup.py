@@ -5,10 +5,13 @@ Each is one plan: a predicate on the index that reaches its scan, and a semi-joi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.text import STOP_WORDS
 from quillon.functions.timespan import TimeWindow
 from quillon.plans.constraints import keyword
 
@@ -38,6 +41,21 @@ def by_phrase(posts: DataFrame, phrase: str, window: TimeWindow | None = None, i
     return found.where(F.contains(F.lower(text_col), F.lit(phrase.lower()))).select(id_col)
 
 
+def inner_words(phrase: str) -> list[str]:
+    """Words of letters with a blank on either side within the phrase: whatever text holds the phrase has them as whole terms."""
+    return sorted({w for w in re.findall(r"(?<=\s)[^\W\d_]+(?=\s)", phrase.lower()) if w not in STOP_WORDS})
+
+
+def by_phrase_indexed(posts: DataFrame, index: DataFrame, phrase: str, window: TimeWindow | None = None, id_col: str = "post_id", text_col: str = "text") -> DataFrame:
+    """The same through an index of terms: the postings of the phrase's inner words are intersected, and only the posts that are left
+    are read.  Without such a word the texts are scanned."""
+    wanted = inner_words(phrase)
+    if not wanted:
+        return by_phrase(posts, phrase, window, id_col, text_col)
+    found = within(index, window).where(F.col("key").isin(wanted)).groupBy(id_col).agg(F.count_distinct("key").alias("n")).where(F.col("n") == len(wanted))
+    return by_phrase(fetch(within(posts, window), found.select(id_col), id_col), phrase, None, id_col, text_col)
+
+
 def by_box(places: DataFrame, low: str, high: str, window: TimeWindow | None = None) -> DataFrame:
     """Ids of posts in a box of cells from ``x_y`` to ``x_y``, both inclusive."""
     (x0, y0), (x1, y1) = (map(int, c.split("_")) for c in (low, high))
@@ -94,7 +112,7 @@ def scan_keys(posts: DataFrame, wanted: list[str], window: TimeWindow | None = N
 
 def scan_pattern(posts: DataFrame, pattern: str, window: TimeWindow | None = None, memes: str = "memes") -> DataFrame:
     """Ids of posts with a key that a regular expression matches whole, without an index."""
-    return within(posts, window).where(F.exists(memes, lambda m: F.lower(m).rlike(f"^(?:{pattern})$"))).select("post_id")
+    return within(posts, window).where(F.exists(memes, lambda m: F.lower(m).rlike(rf"\A(?:{pattern})\z"))).select("post_id")
 
 
 def first_rows(rows: DataFrame, key: str, n: int, start: object = None) -> DataFrame:

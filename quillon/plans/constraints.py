@@ -13,6 +13,8 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,17 @@ def regex_prefix(pattern: str) -> str:
     return out
 
 
+def check_pattern(pattern: str) -> None:
+    """ValueError for what Java's engine, which is to run it, doesn't take; where no session is there to ask, nothing is checked."""
+    sc = SparkContext._active_spark_context
+    if sc is None:
+        return
+    try:
+        sc._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
+        raise ValueError(f"{pattern!r} is no regular expression: {e.java_exception.getMessage()}") from None
+
+
 def milliseconds(literal: str) -> int:
     literal = literal.strip()
     if "-" in literal[1:]:
@@ -61,7 +74,7 @@ class Constraint:
             found = F.lit(True) if lo is None else c >= lo
             return found if hi is None else (c <= hi if lo is None else found & (c <= hi))
         if self.kind == "regex":
-            whole = c.rlike(f"^(?:{self.values[0]})$")
+            whole = c.rlike(rf"\A(?:{self.values[0]})\z")
             prefix = regex_prefix(self.values[0])
             return c.startswith(prefix) & whole if prefix else whole
         found = c.startswith(self.values[0])
@@ -97,7 +110,7 @@ def parse(text: str) -> Constraint:
     if target == "ts":
         raise ValueError("a time takes a set or a range")
     if body[0] == "<":
-        re.compile(re.sub(r"\\p\{\w+\}", "x", inner))
+        check_pattern(inner)
         return Constraint(target, "regex", (inner,))
     star, mark = inner.count("*"), inner.count("?")
     if star + mark != 1 or inner[-1] not in "*?":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import leading_count
@@ -41,9 +41,12 @@ def flatten(posts: DataFrame) -> DataFrame:
     """One row a post, typed, with its month; posts that others reshare are posts of their own, once each.
 
     memes are the substrings of the text that entities take up, for the index of terms."""
-    own = posts.select(*_flat(""), F.col("retweeted_status.id").alias("reshared_id"))
-    originals = posts.where("retweeted_status.id is not null").select(*_flat("retweeted_status."), F.lit(None).cast("bigint").alias("reshared_id"))
-    rows = own.unionByName(originals).dropDuplicates(["post_id"])
+    own = posts.select(*_flat(""), F.col("retweeted_status.id").alias("reshared_id"), F.col("retweeted_status.user.id").alias("reshared_user"), F.lit(1).alias("__own"))
+    originals = posts.where("retweeted_status.id is not null").select(*_flat("retweeted_status."), F.lit(None).cast("bigint").alias("reshared_id"), F.lit(None).cast("bigint").alias("reshared_user"), F.lit(0).alias("__own"))
+    every = own.unionByName(originals)
+    # a post itself before what others had of it; then the one most reshared
+    first = Window.partitionBy("post_id").orderBy(F.desc("__own"), F.desc_nulls_last("reshare_count"), F.xxhash64("text", "ts", "user_id", "reshared_id"))
+    rows = every.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth", "__own")
     e = F.col("entities")
     none = F.array().cast("array<string>")
     spans = F.concat(
@@ -60,10 +63,9 @@ def users(flat: DataFrame) -> DataFrame:
     return rows.withColumn("ts", post_time(F.col("created_at"))).drop("id")
 
 
-def ingest(posts: DataFrame, index: bool = True) -> dict[str, DataFrame]:
-    """Everything that a load makes: posts, users, names, and the indexes."""
-    flat = flatten(posts)
-    out = {"posts": flat, "users": users(flat)}
+def tables_of(flat: DataFrame, index: bool = True) -> dict[str, DataFrame]:
+    """What a load makes of flat posts: users, names, and the indexes."""
+    out = {"users": users(flat)}
     if index:
         out |= {f"index_{name}": build(flat) for name, build in INDEXES.items()}
         out["index_names"] = indexes.name_index(out["users"])
@@ -71,13 +73,26 @@ def ingest(posts: DataFrame, index: bool = True) -> dict[str, DataFrame]:
     return out
 
 
-def save(tables: dict[str, DataFrame], folder: str, mode: str = "append") -> None:
-    """Write the tables of a load as Parquet, posts and indexes by month."""
+def ingest(posts: DataFrame, folder: str, load: str, index: bool = True) -> None:
+    """Load posts into a folder under a load's name, and index them.  The input is read and parsed once: indexes are made from the
+    posts as they were written.  A load of a name that is there already takes its place, so that it can be repeated."""
+    spark = posts.sparkSession
+    save({"posts": flatten(posts)}, folder, load)
+    written = spark.read.schema(flatten(posts).schema).parquet(f"{folder}/posts/load={load}")
+    save(tables_of(written, index), folder, load)
+
+
+def save(tables: dict[str, DataFrame], folder: str, load: str = "0") -> None:
+    """Write tables as Parquet, a folder a load and month; those with a key ranged and sorted by it within each month, so that look-ups
+    skip files and row groups."""
     for name, rows in tables.items():
         if "month" not in rows.columns and "ts" in rows.columns and name != "index_names":
             rows = rows.withColumn("month", F.date_format("ts", "yyyy-MM"))
-        writer = rows.write.mode(mode)
-        (writer.partitionBy("month") if "month" in rows.columns else writer).parquet(f"{folder}/{name}")
+        if "key" in rows.columns:
+            by = [c for c in ("month", "key") if c in rows.columns]
+            rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy("month") if "month" in rows.columns else writer).parquet(f"{folder}/{name}/load={load}")
 
 
 def to_json(rows: DataFrame) -> DataFrame:

@@ -16,29 +16,29 @@ RECORD = "path string, position bigint, kind string, uri string, trec_id string,
 
 
 class Members(io.RawIOBase):
-    """The bytes of a gzip file of one or more members, or of a plain one, whatever its name.  What a broken tail still
-    gives is given."""
+    """The bytes of a gzip file of one or more members, or of a plain one, whatever its name, from a place on.  ``broken`` tells
+    where a member that can't be read to its end lies."""
 
-    def __init__(self, raw: bytes) -> None:
-        self.raw, self.at, self.ready = raw, 0, b""
+    def __init__(self, raw: bytes, at: int = 0) -> None:
+        self.raw, self.at, self.ready, self.broken = raw, at, b"", -1
         self.unzip = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, buffer) -> int:  # noqa: ANN001
-        while not self.ready and (self.at < len(self.raw) or (self.unzip and self.unzip.unconsumed_tail)):
+        while not self.ready and self.broken < 0 and (self.at < len(self.raw) or (self.unzip and self.unzip.unconsumed_tail)):
             if self.unzip is None:
                 self.ready, self.at = self.raw[self.at : self.at + (1 << 16)], self.at + (1 << 16)
                 continue
             part = self.unzip.unconsumed_tail or self.raw[self.at : self.at + (1 << 16)]
+            begin = self.at - len(self.unzip.unconsumed_tail)
             self.at += 0 if self.unzip.unconsumed_tail else len(part)
             try:
                 self.ready = self.unzip.decompress(part, 1 << 20)
             except zlib.error:
-                self.at = len(self.raw)
-                self.unzip = zlib.decompressobj(31)
-                return 0
+                self.broken = begin
+                break
             if self.unzip.eof:  # the next member
                 self.at -= len(self.unzip.unused_data)
                 self.unzip = zlib.decompressobj(31)
@@ -47,11 +47,26 @@ class Members(io.RawIOBase):
         return n
 
 
+def streams(raw: bytes) -> Iterator[io.BufferedReader]:
+    """What can be read of a file: one stream, or, behind each broken member, another that begins with the next that can be read."""
+    at = 0
+    while at >= 0:
+        members = Members(raw, at)
+        yield io.BufferedReader(members)
+        at = raw.find(b"\x1f\x8b\x08", members.broken + 1) if members.broken >= 0 else -1
+
+
 def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(number, headers, content) of each record of an archive.  Header names are in lower case; what stands before a
     record's first line is passed over; a record without a length is empty, one that is cut off isn't given."""
-    stream = io.BufferedReader(Members(raw))
     number = 0
+    for stream in streams(raw):
+        for headers, content in records_of(stream):
+            yield number, headers, content
+            number += 1
+
+
+def records_of(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
     while True:
         line = stream.readline()
         if not line:
@@ -69,9 +84,9 @@ def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             size = 0
         content = stream.read(size)
         if len(content) < size:
+            stream.read()  # to the end, so that what is broken is known
             return
-        yield number, headers, content
-        number += 1
+        yield headers, content
 
 
 def read_archive(spark: SparkSession, path: str, pattern: str = "*.warc*") -> DataFrame:
@@ -121,9 +136,38 @@ def normal_url(url: Column) -> Column:
     return F.when(head == "", None).otherwise(F.concat(bare, F.when(rest == "", "/").when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without . and .. segments; what would lead above the root leads to it."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, p: F.when(p == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(p == ".", done).otherwise(F.array_append(done, p)),
+    )
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """The address that a link of a page leads to; null for other schemes than http and https, and for a page without a host."""
+    bare = F.regexp_replace(F.trim(base), r"[?#].*$", "")
+    host = F.regexp_extract(bare, r"^(?i)(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(bare, r"^(?i)https?://[^/]+(/.*)$", 1)
+    folder = F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.when(path == "", "/").otherwise(""))
+    own = F.regexp_extract(link, r"^([^?#]*)", 1)
+    tail = F.substring(link, F.length(own) + 1, F.length(link))
+    there = (
+        F.when(link.rlike("^(?i)https?://"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(host, "^([^:]+:)", 1), link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(own == "", F.concat(host, F.when(path == "", "/").otherwise(path), tail))
+        .when(link.startswith("/"), F.concat(host, plain_path(own), tail))
+        .otherwise(F.concat(host, plain_path(F.concat(folder, own)), tail))
+    )
+    return F.when(there.rlike("^(?i)https?://[^/]"), there)
+
+
 def out_links(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url): distinct normal addresses that a page's anchors lead to; relative ones are taken from the page's host."""
+    """(id, url): distinct normal addresses that a page's anchors lead to, relative ones resolved against the page's own."""
     links = F.explode(F.regexp_extract_all(html_col, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1)))
-    rows = pages.select(F.col(id_col), F.regexp_extract(url_col, r"^(?i)(https?://[^/?#]+)", 1).alias("host"), links.alias("link"))
-    full = F.when(F.col("link").rlike("^(?i)https?://"), F.col("link")).when(F.col("link").startswith("/"), F.concat("host", "link"))
-    return rows.select(id_col, normal_url(full).alias("url")).where("url is not null").distinct()
+    rows = pages.select(F.col(id_col), F.col(url_col).alias("__base"), links.alias("__link"))
+    return rows.select(id_col, normal_url(resolve(F.col("__base"), F.col("__link"))).alias("url")).where("url is not null").distinct()

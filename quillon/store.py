@@ -7,6 +7,7 @@ command line (``python -m quillon``).
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from quillon.functions import keys
 from quillon.functions.timespan import TimeWindow
 from quillon.model import post_schema
-from quillon.operators import counts, lookup
+from quillon.operators import counts, lookup, sets
 from quillon.plans.constraints import CellQuery, keyword
 from quillon.plans.index import IndexSpec, build_all
 from quillon.sources import files, posts
@@ -31,29 +32,44 @@ class Store:
     # tables -------------------------------------------------------------------------------------------------------------------
     def load(self, paths: str | list[str], index: bool = True) -> None:
         """Load posts from JSON lines and, unless told otherwise, index them."""
-        posts.save(posts.ingest(posts.read_json(self.spark, paths), index), self.folder)
+        posts.ingest(posts.read_json(self.spark, paths), self.folder, uuid.uuid4().hex, index)
 
     def load_list(self, path: str, index: bool = True) -> None:
         """The same from the files that a file lists."""
-        posts.save(posts.ingest(posts.read_list(self.spark, path), index), self.folder)
+        posts.ingest(posts.read_list(self.spark, path), self.folder, uuid.uuid4().hex, index)
+
+    def create(self, months: list[str], names: tuple[str, ...] = ("posts", "index_memes", "index_text")) -> None:
+        """Empty tables of posts and their indexes, with a folder for each of the months."""
+        none = posts.flatten(self.spark.createDataFrame([], post_schema()).drop("_corrupt"))
+        empty = {"posts": none} | posts.tables_of(none)
+        for name in names:
+            posts.save({name: empty[name]}, self.folder, "none")
+            for month in months:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/load=none/month={month}")
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def splits(self, name: str, key: str, parts: int) -> list[float]:
+        """Keys, which are numbers, at which a table divides into parts of like size: the bounds to range another one by."""
+        return sets.range_bounds(self.table(name), key, parts)
 
     def follow(self, folder: str, files_per_trigger: int = 1000):  # noqa: ANN201
-        """Load and index what arrives in a folder, as a stream: the batch's own transforms on every micro-batch.  Returns the
+        """Load and index what arrives in a folder, as a stream: the batch's own transforms on every micro-batch, whose
+        tables a repeated micro-batch overwrites.  Returns the
         started query; it stops when all that is there now is loaded."""
         stream = windows.read_stream(self.spark, folder, post_schema(), files_per_trigger=files_per_trigger)
 
         def each(rows: DataFrame, batch_id: int) -> None:
-            posts.save(posts.ingest(rows.where("id is not null").drop("_corrupt")), self.folder)
+            posts.ingest(rows.where("id is not null").drop("_corrupt"), self.folder, f"batch-{batch_id}")
 
         return stream.writeStream.foreachBatch(each).trigger(availableNow=True).option("checkpointLocation", f"{self.folder}/_progress").start()
 
     def build_indexes(self, specs: list[IndexSpec], only: str | None = None) -> None:
         """Build indexes of one's own definition from the posts."""
         for name, rows in build_all(specs, {"posts": self.table("posts")}, {"posts": "post_id"}, {"posts": "ts"}, only).items():
-            posts.save({f"index_{name}": rows}, self.folder, "overwrite")
+            posts.save({f"index_{name}": rows}, self.folder)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}/load=*").drop("load")
 
     def tables(self) -> list[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -96,7 +112,7 @@ class Store:
         if kind == "reshared":
             return lookup.within(self.table("index_reshares"), w).where(F.col("key") == int(words)).select("post_id").distinct()
         if kind == "phrase":
-            return lookup.by_phrase(self.table("posts"), words, w)
+            return lookup.by_phrase_indexed(self.table("posts"), self.table("index_text"), words, w)
         if kind == "box":
             low, _, high = words.partition(":")
             return lookup.by_box(self.table("index_places"), low, high or low, w)

@@ -21,6 +21,7 @@ def features(posts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> Data
         "post_id", "user_id", "ts", F.coalesce(F.transform(e["hashtags"], lambda t: F.lower(t["text"])), none).alias("hashtags"),
         F.coalesce(F.transform(e["user_mentions"], lambda m: m["id"].cast("string")), none).alias("mentions"),
         F.coalesce(F.transform(e["urls"], lambda u: F.coalesce(u["expanded_url"], u["url"])), none).alias("urls"), stems(analyze(text, stop_words)).alias("words"),
+        F.col("reshared_user").cast("string").alias("reshared_user"),
     )
     return rows.withColumn("phrase", F.array_join("words", " "))
 
@@ -33,8 +34,16 @@ def markers(without: tuple[str, ...] = ()) -> Column:
     return F.concat(tag("hashtag", tags), tag("mention", F.array_distinct("mentions")), tag("url", F.array_distinct("urls")), tag("phrase", phrase))
 
 
+def contacts(rows: DataFrame, step: Column) -> DataFrame:
+    """(step, user, other): whom a user mentions or reshares within a step, and who mentions or reshares the user."""
+    others = F.explode(F.array_compact(F.array_append("mentions", F.col("reshared_user"))))
+    ahead = rows.select(step.alias("step"), F.col("user_id").cast("string").alias("user"), others.alias("other")).where("user is not null").distinct()
+    return ahead.union(ahead.select("step", "other", "user")).distinct()
+
+
 def protomemes(rows: DataFrame, step_seconds: int = 30, without: tuple[str, ...] = ()) -> DataFrame:
-    """Protomemes of rows with features, as SCHEMA; diffusion is who wrote and whom they mention.
+    """Protomemes of rows with features, as SCHEMA; diffusion is who wrote of the marker, whom they mention and reshare in that
+    step, and who mentions and reshares them, in whatever post.
 
     Users and words are counted in a first aggregate by (marker, kind, value), and gathered into maps in a second; both
     combine before their shuffle."""
@@ -42,12 +51,16 @@ def protomemes(rows: DataFrame, step_seconds: int = 30, without: tuple[str, ...]
     each = rows.select(step.alias("step"), F.explode(markers(without)).alias("m"), "post_id", F.col("user_id").cast("string").alias("user"), "words", "mentions", F.col("ts").cast("timestamp").alias("ts"))
     each = each.select("step", "m.type", "m.marker", "post_id", "user", "words", "mentions", "ts")
     keys = ["step", "type", "marker"]
-    whole = each.groupBy(*keys).agg(F.array_sort(F.collect_set("post_id")).alias("posts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(F.array("user"), "mentions"))))).alias("diffusion"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+    whole = each.groupBy(*keys).agg(F.array_sort(F.collect_set("post_id")).alias("posts"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
     parts = F.concat(F.array(F.struct(F.lit("u").alias("k"), F.col("user").alias("v"))), F.transform("words", lambda w: F.struct(F.lit("w").alias("k"), w.alias("v"))))
     counted = each.select(*keys, F.explode(parts).alias("p")).groupBy(*keys, "p.k", "p.v").agg(F.count("*").alias("n"))
     entries = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("v", "n")))))
     maps = counted.groupBy(*keys).agg(entries("u").alias("users"), entries("w").alias("words"))
-    return whole.join(maps, keys).select(*keys, "posts", "users", "words", "diffusion", "earliest", "latest")
+    writers = each.where("user is not null").select(*keys, "user").distinct()
+    reached = writers.join(contacts(rows, step), ["step", "user"]).select(*keys, F.col("other").alias("user"))
+    diffusion = writers.unionByName(reached).groupBy(*keys).agg(F.array_sort(F.collect_set("user")).alias("diffusion"))
+    none = F.array().cast("array<string>")
+    return whole.join(maps, keys).join(diffusion, keys, "left").withColumn("diffusion", F.coalesce("diffusion", none)).select(*keys, "posts", "users", "words", "diffusion", "earliest", "latest")
 
 
 def late(rows: DataFrame, window_start: int) -> DataFrame:

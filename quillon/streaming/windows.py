@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.workspace import new_folder
+
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "json", files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
     """A stream of a folder's files; files_per_trigger holds back what comes too fast."""
@@ -41,8 +42,7 @@ def sessions(rows: DataFrame, gap: str, by: str, late: str | None = None, ts: st
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """A new folder for a stream's progress, in the cluster's shared one where it names one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
