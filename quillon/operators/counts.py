@@ -185,3 +185,8 @@ def related(index: DataFrame, seed: str, threshold: float, window: TimeWindow |
     found = sizes.where(F.col("both") > 0).crossJoin(F.broadcast(total))  # one row
     coefficient = F.col("both") / (F.col("n") + F.col("total") - F.col("both"))
     return found.where(F.col("key") != seed.lower()).select("key", "both", "n", coefficient.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def related_scan(posts: DataFrame, seed: str, threshold: float, window: TimeWindow | None = None, prefix: str = "", memes: str = "memes") -> DataFrame:
+    """The same without an index: the keys of posts themselves."""
+    return related(posts.select(F.explode(memes).alias("key"), "post_id", "ts"), seed, threshold, window, prefix)

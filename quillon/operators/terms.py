@@ -37,6 +37,13 @@ def all_fields(index: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return index.where(hit).groupBy("doc_id").agg(F.count_distinct("field").alias("k")).where(F.col("k") == len(wanted)).select("doc_id")
 
 
+def fields_of(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same with (field, term) from a table, which has a row a field."""
+    k = wanted.agg(F.count("*").alias("all"))
+    hit = index.join(F.broadcast(wanted), ["field", "term"], "left_semi").groupBy("doc_id").agg(F.count_distinct("field").alias("k"))
+    return hit.join(F.broadcast(k), F.col("k") == F.col("all"), "left_semi").select("doc_id")
+
+
 def scan_words(docs: DataFrame, word: str, other: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with a whole word, and with another string anywhere."""
     found = docs.where(F.contains(F.col(text_col), F.lit(word)) & whole_word(F.col(text_col), word))
@@ -49,18 +56,23 @@ def any_term(docs: DataFrame, wanted: list[str], columns: list[str], text_col: s
 
 
 def neighbours(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(t1, t2): each term with the next one, in order, of each document: arrays zipped with themselves, no window and no shuffle."""
-    kept = docs.select(analyze(F.col(text_col), stop_words, drop_numbers=True).alias("ts")).where(F.size("ts") > 1)
-    shifted = F.arrays_zip(F.slice("ts", 1, F.size("ts") - 1).alias("a"), F.slice("ts", 2, F.size("ts") - 1).alias("b"))
-    return kept.select(F.explode(shifted).alias("p")).select(F.col("p.a").alias("t1"), F.col("p.b").alias("t2"))
+    """(t1, t2, n): how often each term has the next one behind it, t2 being null at a document's end: arrays zipped with themselves,
+    no window; the counts are summed before their shuffle."""
+    kept = docs.select(analyze(F.col(text_col), stop_words, drop_numbers=True).alias("ts"))
+    shifted = F.arrays_zip(F.col("ts").alias("a"), F.slice("ts", 2, F.size("ts")).alias("b"))
+    return kept.select(F.explode(shifted).alias("p")).groupBy(F.col("p.a").alias("t1"), F.col("p.b").alias("t2")).agg(F.count("*").alias("n"))
 
 
-def pair_frequencies(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(t1, t2, forward, backward), t1 before t2 as text: how often each follows the other; only pairs seen both ways."""
-    pairs = neighbours(docs, text_col, stop_words).where("t1 <> t2")
+def pair_frequencies(pairs: DataFrame) -> DataFrame:
+    """(t1, t2, forward, backward) of neighbours, t1 before t2 as text: how often each follows the other; only pairs seen both ways."""
     ahead = F.col("t1") < F.col("t2")
-    rows = pairs.select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), ahead.cast("int").alias("f"))
-    return rows.groupBy("t1", "t2").agg(F.sum("f").alias("forward"), F.sum(F.lit(1) - F.col("f")).alias("backward")).where("forward > 0 and backward > 0")
+    rows = pairs.where("t1 <> t2").select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), F.when(ahead, F.col("n")).otherwise(0).alias("f"), F.when(ahead, 0).otherwise(F.col("n")).alias("b"))
+    return rows.groupBy("t1", "t2").agg(F.sum("f").alias("forward"), F.sum("b").alias("backward")).where("forward > 0 and backward > 0")
+
+
+def hits_of_neighbours(pairs: DataFrame, more_than: int = 1) -> DataFrame:
+    """(term, hits) as term_hits gives them, from the neighbours that are counted already."""
+    return pairs.groupBy(F.col("t1").alias("term")).agg(F.sum("n").alias("hits")).where(F.col("hits") > more_than)
 
 
 def synonyms(pairs: DataFrame, hits: DataFrame, threshold: float = 1e-6) -> DataFrame:

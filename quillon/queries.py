@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import keys, timespan
-from quillon.functions.text import STOP_WORDS, blank_out, html_to_text, is_number, leading_count, porter, split_terms, stems, strip_tags, terms, tokens
+from quillon.functions.text import STOP_WORDS, blank_out, html_to_text, is_number, leading_count, split_terms, stems, strip_tags, terms, tokens
 from quillon.functions.timespan import TimeWindow
 from quillon.functions.vectors import cosine, jaccard, set_cosine, sum_squares
 from quillon.model import memes, places, posts, table
@@ -36,8 +36,8 @@ memes AS (SELECT '#' || event_type AS key, post_id, user_id, ts FROM posts UNION
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _NUMBER = r"(regexp_matches({0}, '^0x[0-9a-f]+$') OR NOT regexp_matches(regexp_replace({0}, '[a-f]', '', 'g'), '\p{{L}}'))"
 #: Kept terms of documents with their places.
-D = rf"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), 1) AS raw FROM documents),
-kept AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos FROM tok WHERE term NOT IN ({_STOP}) AND NOT {_NUMBER.format("term")}),
+D = rf"""WITH tok AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), 1) AS raw FROM documents),
+kept AS MATERIALIZED (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos FROM tok WHERE term NOT IN ({_STOP}) AND NOT {_NUMBER.format("term")}),
 tf AS (SELECT term, doc_id, count(*) AS freq FROM kept GROUP BY ALL)"""
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -380,16 +380,16 @@ def json_field_projection(spark, sf):
     return kept.select("post_id", F.to_json(F.struct("event_type", "user")).alias("value"))
 
 
-@query(P + " SELECT concat_ws(chr(9), post_id, event_type, user_id) AS value FROM posts WHERE post_id < 50")
+@query(P + " SELECT concat_ws(chr(9), post_id, event_type, user_id) AS value FROM posts")
 def table_dump(spark, sf):
-    return files.dump(posts(spark, sf).where("post_id < 50"), ["post_id", "event_type", "user_id"])
+    return files.dump(posts(spark, sf), ["post_id", "event_type", "user_id"])
 
 
 # Indexes ----------------------------------------------------------------------------------------------------------------------
-@query("SELECT key, CAST(doc_id AS VARCHAR) AS qual, source AS val FROM (SELECT doc_id, source, unnest(list_distinct(list_filter(" + _TOKENS.format("text") + f", lambda t: t NOT IN ({_STOP})))) AS key FROM documents WHERE doc_id < 100)")
+@query("SELECT key, CAST(doc_id AS VARCHAR) AS qual, source AS val FROM (SELECT doc_id, source, unnest(list_distinct(list_filter(" + _TOKENS.format("text") + f", lambda t: t NOT IN ({_STOP})))) AS key FROM documents)")
 def index_from_definition(spark, sf):
     spec = IndexSpec("text", "documents", "text", "full-text", "{source}.{rowkey}", "", "{source}.d.source")
-    built = build_all([spec], {"documents": docs(spark, sf).where("doc_id < 100")}, {"documents": "doc_id"})["text"]
+    built = build_all([spec], {"documents": docs(spark, sf)}, {"documents": "doc_id"})["text"]
     return built.select("key", F.col("qual").cast("string").alias("qual"), "val")
 
 
@@ -431,8 +431,7 @@ def docs_per_field_term(spark, sf):
 @query(_PART + ", w AS (SELECT (SELECT min(term) FROM f WHERE field = 'p_type') AS a, (SELECT min(term) FROM f WHERE field = 'p_brand') AS b) SELECT doc_id FROM (SELECT p_partkey AS doc_id, count(DISTINCT field) AS k FROM f, w WHERE (field = 'p_type' AND term = a) OR (field = 'p_brand' AND term = b) GROUP BY 1) WHERE k = 2")
 def multi_field_and(spark, sf):
     index = _part_index(spark, sf)
-    least = {r.field: r.term for r in index.where("field in ('p_type', 'p_brand')").groupBy("field").agg(F.min("term").alias("term")).collect()}
-    return term_ops.all_fields(index, least)
+    return term_ops.fields_of(index, index.where("field in ('p_type', 'p_brand')").groupBy("field").agg(F.min("term").alias("term")))
 
 
 @query(r"SELECT term, conv_id AS book, string_agg(turn, ',' ORDER BY turn) AS pages, CAST(sum(c) AS BIGINT) AS freq FROM (SELECT term, conv_id, turn, count(*) AS c FROM (SELECT conv_id, turn, unnest(" + _TOKENS.format("text") + f") AS term FROM conversations) WHERE term NOT IN ({_STOP}) AND NOT {_NUMBER.format('term')} GROUP BY 1, 2, 3) GROUP BY 1, 2")
@@ -457,7 +456,7 @@ _PAIRS = D + ", nb AS (SELECT term AS t1, lead(term) OVER (PARTITION BY doc_id O
 
 @query(_PAIRS + " SELECT t1, t2, CAST(forward AS BIGINT) AS forward, CAST(backward AS BIGINT) AS backward FROM pf")
 def pair_freq(spark, sf):
-    return term_ops.pair_frequencies(docs(spark, sf))
+    return term_ops.pair_frequencies(term_ops.neighbours(docs(spark, sf)))
 
 
 @query(_PAIRS + r""", h AS (SELECT term, sum(freq) AS hits FROM tf GROUP BY 1 HAVING sum(freq) > 1),
@@ -465,7 +464,8 @@ s AS (SELECT t1, t2, forward, backward, coalesce(a.hits, 1) AS c1, coalesce(b.hi
 SELECT t1, t2, round((forward + backward) / (c1 * c2), 6) AS plus, round(least(forward, backward) / (c1 * c2), 6) AS min_score, round(greatest(forward, backward) / least(forward, backward), 6) AS p FROM s
 WHERE least(forward, backward) / (c1 * c2) > 1e-6 AND greatest(forward, backward) > least(forward, backward)""")
 def synonym_score(spark, sf):
-    found = term_ops.synonyms(term_ops.pair_frequencies(docs(spark, sf)), term_ops.term_hits(frequencies(spark, sf)))
+    pairs = term_ops.neighbours(docs(spark, sf))  # both sides take the same shuffle
+    found = term_ops.synonyms(term_ops.pair_frequencies(pairs), term_ops.hits_of_neighbours(pairs))
     return found.select("t1", "t2", *(F.round(c, 6).alias(c) for c in ("plus", "min_score", "p")))
 
 
@@ -516,7 +516,9 @@ def html_text_terms(spark, sf):
     return text.select("page_id", F.explode(terms(F.col("text"))).alias("term"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS link FROM pages),
+f AS (SELECT page_id, CASE WHEN regexp_matches(link, '^https?://') THEN link WHEN link LIKE '/%' THEN host || link END AS url FROM l)
+SELECT DISTINCT page_id, regexp_replace(regexp_extract(url, '^(https?://[^/?]+)', 1), ':80$', '') || CASE WHEN regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://[^/?]+', '') = '' THEN '/' ELSE regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://[^/?]+', '') END AS url FROM f WHERE url IS NOT NULL""")
 def page_links(spark, sf):
     """(page_id, url) of the links of pages."""
     return web.out_links(spread(table(spark, sf, "pages")), "page_id", "url", "html")
@@ -622,10 +624,10 @@ def runs_of_types(spark, sf):
 
 # Similarity -------------------------------------------------------------------------------------------------------------------
 def _user_targets(spark: SparkSession, sf: str) -> DataFrame:
-    return posts(spark, sf).where("user_id < 60 and k is not null").groupBy("user_id", "k").agg(F.count("*").alias("w"))
+    return posts(spark, sf).where("k is not null").groupBy("user_id", "k").agg(F.count("*").alias("w"))
 
 
-_COSINE = P + """, v AS (SELECT user_id, k, count(*) AS w FROM posts WHERE user_id < 60 AND k IS NOT NULL GROUP BY 1, 2), nrm AS (SELECT user_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
+_COSINE = P + """, v AS (SELECT user_id, k, count(*) AS w FROM posts WHERE k IS NOT NULL GROUP BY 1, 2), nrm AS (SELECT user_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
 c AS (SELECT a.user_id AS a, b.user_id AS b, sum(a.w * b.w) AS dot FROM v a JOIN v b ON a.k = b.k AND a.user_id < b.user_id GROUP BY 1, 2), cs AS (SELECT a, b, dot / (x.norm * y.norm) AS cosine FROM c JOIN nrm x ON a = x.user_id JOIN nrm y ON b = y.user_id)"""
 
 
@@ -640,7 +642,7 @@ def pairwise_similarity_histogram(spark, sf):
     return similarity.similarity_histogram(pairs.withColumn("cosine", F.round("cosine", 9)), 0.05)
 
 
-@query(P + ", s AS (SELECT DISTINCT user_id, k FROM posts WHERE user_id < 60 AND k IS NOT NULL), z AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), j AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.user_id < b.user_id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM j JOIN z x ON a = x.user_id JOIN z y ON b = y.user_id WHERE c / (x.n + y.n - c) >= 0.2")
+@query(P + ", s AS (SELECT DISTINCT user_id, k FROM posts WHERE k IS NOT NULL), z AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), j AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.user_id < b.user_id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM j JOIN z x ON a = x.user_id JOIN z y ON b = y.user_id WHERE c / (x.n + y.n - c) >= 0.2")
 def jaccard_pairs(spark, sf):
     return similarity.jaccard_pairs(_user_targets(spark, sf), "user_id", "k", 0.2).withColumn("jaccard", F.round("jaccard", 6))
 
@@ -736,11 +738,21 @@ def split_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(split_terms(F.col("p_name"), " "), ",").alias("parts"))
 
 
-@query()
+#: Words with the stems that Porter's paper gives for them, or that its rules leave in the end.
+STEMS = (
+    "caresses:caress ponies:poni ties:ti caress:caress cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop "
+    "tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration valenci:valenc hesitanci:hesit digitizer:digit "
+    "conformabli:conform radicalli:radic differentli:differ vileli:vile analogousli:analog vietnamization:vietnam predication:predic operator:oper feudalism:feudal decisiveness:decis "
+    "hopefulness:hope callousness:callous formaliti:formal sensitiviti:sensit sensibiliti:sensibl triplicate:triplic formative:form formalize:formal electriciti:electr electrical:electr hopeful:hope "
+    "goodness:good revival:reviv allowance:allow inference:infer airliner:airlin gyroscopic:gyroscop adjustable:adjust defensible:defens irritant:irrit replacement:replac adjustment:adjust "
+    "dependent:depend adoption:adopt communism:commun activate:activ angulariti:angular homologous:homolog effective:effect bowdlerize:bowdler probate:probat rate:rate cease:ceas controll:control roll:roll"
+).split()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*s.split(":")) for s in STEMS) + ") v(word, stem)")
 def porter_stems(spark, sf):
-    """Words with their stems, for reading."""
-    words = ["caresses", "ponies", "relational", "hopping", "formalize", "probate", "controlling"]
-    return spark.createDataFrame([(w, porter(w)) for w in words], "word string, stem string")
+    words = spark.createDataFrame([(s.split(":")[0],) for s in STEMS], "word string")
+    return words.select("word", F.element_at(stems(F.array("word")), 1).alias("stem"))
 
 
 # Streams ----------------------------------------------------------------------------------------------------------------------

@@ -151,9 +151,9 @@ def test_postings(spark):
     both = indexes.frequencies_and_positions(docs)
     assert ("red", 1, 2, [0, 2]) in rows(both)
     assert rows(terms.both_terms(both, "red", "fox")) == [(1,), (2,)] and rows(terms.both_terms(both, "red", "fox", 1)) == [(1,)]
-    pairs = rows(terms.pair_frequencies(docs))
+    pairs = rows(terms.pair_frequencies(terms.neighbours(docs)))
     assert pairs == [("fox", "red", 1, 1), ("hen", "red", 1, 1)]
-    score = terms.synonyms(terms.pair_frequencies(docs).withColumn("forward", F.lit(3)), terms.term_hits(both)).collect()
+    score = terms.synonyms(terms.pair_frequencies(terms.neighbours(docs)).withColumn("forward", F.lit(3)), terms.term_hits(both)).collect()
     assert {(s.t1, s.t2): (s.c1, s.c2) for s in score} == {("fox", "red"): (2, 3), ("hen", "red"): (3, 3)} and score[0].p == 3
     assert rows(terms.term_hits(both, 2)) == [("hen", 3), ("red", 3)]
 

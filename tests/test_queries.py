@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare
 
-from quillon import queries
+from quillon import load_queries, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
