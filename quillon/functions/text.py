@@ -28,8 +28,11 @@ STOP_WORDS = tuple(
 )
 
 
-def language_stop_words(spark: SparkSession, languages: tuple[str, ...] = ("english", "french", "german", "spanish")) -> list[str]:
-    """Spark's own lists, merged."""
+LANGUAGES = ("danish", "dutch", "english", "finnish", "french", "german", "hungarian", "italian", "norwegian", "portuguese", "russian", "spanish", "swedish", "turkish")
+
+
+def language_stop_words(spark: SparkSession, languages: tuple[str, ...] = LANGUAGES) -> list[str]:
+    """Spark's own lists, merged: all that it has, unless told otherwise.  The analyzers take the result as their stop_words."""
     from pyspark.ml.feature import StopWordsRemover
 
     return sorted({w for x in languages for w in StopWordsRemover.loadDefaultStopWords(x)})

@@ -52,3 +52,21 @@ def snake(rows: DataFrame, weight: str, ties: str, parts: int) -> DataFrame:
     turn = F.pmod(place, F.lit(2 * parts))
     dealt = ranged.withColumn("__own", own).join(F.broadcast(base), "__p")
     return dealt.withColumn("part", F.when(turn < parts, turn).otherwise(2 * parts - 1 - turn).cast("int")).drop("__p", "__own", "__base")
+
+
+def halved(rows: DataFrame, weight: str, ties: str, levels: int) -> DataFrame:
+    """Rows in 2^levels parts: each part is dealt to two, forth and back, the heaviest first, and again, level by level.
+
+    Ranks within parts come from one range partitioning a level by (part, weight): no task sorts a whole part."""
+    now = rows.withColumn("part", F.lit(0))
+    order = [F.col("part"), F.col(weight).desc(), F.col(ties)]
+    for _ in range(levels):
+        ranged = now.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+        own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+        sizes = ranged.groupBy("__p", "part").agg(F.count("*").alias("__n"))  # a row a partition and part
+        before = F.coalesce(F.sum("__n").over(Window.orderBy("part", "__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        place = sizes.withColumn("__all", before).withColumn("__first", F.min("__all").over(Window.partitionBy("part"))).withColumn("__base", F.min("__all").over(Window.partitionBy("__p")))
+        ranked = ranged.withColumn("__own", own).join(F.broadcast(place.select("__p", "part", "__base", "__first")), ["__p", "part"])
+        turn = F.pmod(F.col("__own") - 1 + F.col("__base") - F.col("__first"), F.lit(4))
+        now = ranked.withColumn("part", (F.col("part") * 2 + F.when(turn < 2, turn).otherwise(3 - turn)).cast("int")).drop("__p", "__own", "__base", "__first")
+    return now

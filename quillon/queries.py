@@ -582,6 +582,12 @@ def balanced_split(spark, sf):
     return sets.snake(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", "p_partkey", 4).select("p_partkey", "part")
 
 
+@query("WITH r AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS o FROM part), a AS (SELECT p_partkey, p_size, CASE WHEN o % 4 < 2 THEN o % 4 ELSE 3 - o % 4 END AS h FROM r), b AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY p_size DESC, p_partkey) - 1 AS o FROM a) SELECT p_partkey, CAST(h * 2 + CASE WHEN o % 4 < 2 THEN o % 4 ELSE 3 - o % 4 END AS INT) AS part FROM b")
+def halved_split(spark, sf):
+    """Four balanced parts by halving twice."""
+    return sets.halved(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", "p_partkey", 2).select("p_partkey", "part")
+
+
 @query(P + ", n AS (SELECT user_id AS name FROM posts UNION SELECT k FROM posts WHERE k IS NOT NULL) SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM n")
 def numbered_users(spark, sf):
     return graph.number_vertices(posts(spark, sf), "user_id", "k")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,6 +188,17 @@ class Store:
         """The same over ids from files."""
         return self.analyze(files.read_ids(self.spark, path).select("post_id").distinct(), each, gather)
 
+    def analyze_by_name(self, kind: str, words: str, start: str, end: str, each: str, gather: str | None = None) -> DataFrame:
+        """get_and_analyze with steps that are named ``module:function``, for the command line."""
+        return self.get_and_analyze(kind, words, start, end, step(each), step(gather) if gather else None)[0]
+
+    def process_by_name(self, path: str, each: str, gather: str | None = None) -> DataFrame:
+        return self.process_ids(path, step(each), step(gather) if gather else None)
+
+    def create_by_name(self, months: str) -> None:
+        """Tables for months between commas."""
+        self.create([m.strip() for m in months.split(",") if m.strip()])
+
     def request(self, text: str, limit: int = 100) -> DataFrame:
         """``userId:7``, ``meme:#a`` or ``sname:ann``, with ``;[start,end]`` or without: posts, newest first."""
         m = re.fullmatch(r"\s*(userId|meme|sname):([^;]+?)\s*(?:;\s*\[([^,]*),([^\]]*)\])?\s*", text)
@@ -201,6 +213,14 @@ class Store:
         return lookup.newest(found, limit)
 
 
+def step(name: str) -> Step:
+    """A step by its name, ``module:function``."""
+    module, colon, function = name.partition(":")
+    if not colon:
+        raise ValueError(f"{name!r} isn't module:function")
+    return getattr(import_module(module), function)
+
+
 #: Command -> (method, fixed arguments).
 COMMANDS: dict[str, tuple[str, tuple]] = {
     "load": ("load", ()), "load-list": ("load_list", ()), "delete-table": ("drop", ()), "list-tables": ("tables", ()), "read-table": ("read", ()), "dump-table": ("dump", ()),
@@ -211,6 +231,7 @@ COMMANDS: dict[str, tuple[str, tuple]] = {
     "meme-post-count": ("post_count", ("meme",)), "text-post-count": ("post_count", ("text",)), "userid-post-count": ("post_count", ("user",)),
     "user-post-count": ("user_post_count", ("meme",)), "user-post-count-by-text": ("user_post_count", ("text",)), "meme-cooccur-count": ("cooccur_count", ()),
     "get-reshare-edges": ("reshare_edges", ()), "get-mention-edges": ("mention_edges", ()), "request": ("request", ()),
+    "create-tables": ("create_by_name", ()), "get-and-analyze": ("analyze_by_name", ()), "process-ids": ("process_by_name", ()),
 }
 
 
