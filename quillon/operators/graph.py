@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.workspace import shared_folder
@@ -44,11 +44,44 @@ def start_layout(vertices: DataFrame, column: str = "v", seed: int = 42) -> Data
     return vertices.select(F.col(column).alias("v"), at(0).alias("x"), at(1).alias("y")).distinct()
 
 
-def layout(edges: DataFrame, iterations: int = 10, max_delta: float | None = None, area: float | None = None, src: str = "src", dst: str = "dst", seed: int = 42, places: DataFrame | None = None) -> DataFrame:
-    """(v, x, y) by Fruchterman and Reingold: every pair repels by ks / d^2 - d / area, every edge attracts by d / k, and
-    a step is at most max_delta (left / iterations)^1.5.
+#: Vertices up to which all pairs repel one by one, and cells of the grid beyond.
+EXACT, CELLS = 4096, 1024
+
+
+def _push(dx: Column, dy: Column, area: float, times: Column | None = None) -> list[Column]:
+    """Repulsion (fx, fy) of a vertex from another, or from so many at one place."""
+    d = F.sqrt(dx * dx + dy * dy)
+    size = F.lit(area) / (d * d) - d / F.lit(area)
+    size = size if times is None else size * times
+    return [(dx / d * size).alias("fx"), (dy / d * size).alias("fy")]
+
+
+def repulsion(now: DataFrame, n: int, area: float, exact: int = EXACT, cells: int = CELLS) -> DataFrame:
+    """(a, fx, fy), several rows a vertex: what pushes each vertex of (v, x, y) away.
 
-    Repulsion needs all pairs, which a cross join gives in parallel; lineage is cut in the checkpoint folder every round."""
+    Up to ``exact`` vertices, all pairs.  Beyond, pairs within a cell of a grid and its eight neighbours, which meet by
+    an equi-join on the cell, and for the cells beyond those their number of vertices at their centre of mass: the table of cells has
+    ``cells`` rows at most and is broadcast, so a round takes n * cells steps at most besides the near pairs."""
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    if n <= exact:
+        a, b = now.select(F.col("v").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), now.select(F.col("v").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+        return a.crossJoin(b).where("a <> b and (ax <> bx or ay <> by)").select("a", *_push(dx, dy, area))
+    box = now.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    side = max(1, math.isqrt(cells))
+    at = lambda c, low, high: F.least(F.floor((F.col(c) - low) / F.lit(max(high - low, 1e-300)) * side), F.lit(side - 1)).cast("int")
+    placed = now.withColumns({"cx": at("x", box.x0, box.x1), "cy": at("y", box.y0, box.y1)})
+    mass = placed.groupBy(F.col("cx").alias("gx"), F.col("cy").alias("gy")).agg(F.count("*").alias("n"), F.avg("x").alias("bx"), F.avg("y").alias("by"))
+    own = placed.select(F.col("v").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
+    far = own.join(F.broadcast(mass), (F.abs(F.col("cx") - F.col("gx")) > 1) | (F.abs(F.col("cy") - F.col("gy")) > 1)).select("a", *_push(dx, dy, area, F.col("n")))
+    around = F.array(*(F.struct((F.col("cx") + i).alias("gx"), (F.col("cy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    other = placed.select(F.col("cx").alias("gx"), F.col("cy").alias("gy"), F.col("v").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    near = own.select("a", "ax", "ay", F.explode(around).alias("g")).select("a", "ax", "ay", "g.*").join(other, ["gx", "gy"]).where("a <> b and (ax <> bx or ay <> by)")
+    return far.union(near.select("a", *_push(dx, dy, area)))
+
+
+def layout(edges: DataFrame, iterations: int = 10, max_delta: float | None = None, area: float | None = None, src: str = "src", dst: str = "dst", seed: int = 42, places: DataFrame | None = None) -> DataFrame:
+    """(v, x, y) by Fruchterman and Reingold: every pair repels by ks / d^2 - d / area (see repulsion), every edge attracts by d / k, and
+    a step is at most max_delta (left / iterations)^1.5.  Lineage is cut in the shared folder every round."""
     spark = edges.sparkSession
     shared_folder(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b").distinct()
@@ -59,18 +92,13 @@ def layout(edges: DataFrame, iterations: int = 10, max_delta: float | None = Non
         return now
     max_delta, area = max_delta or float(n), area or float(n * n)
     k = math.sqrt(area / n)
-    ks = area
     for i in range(iterations, 0, -1):
         cap = max_delta * (i / iterations) ** 1.5
         a, b = now.select(F.col("v").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), now.select(F.col("v").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
         dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
         d = F.sqrt(dx * dx + dy * dy)
-        pairs = a.crossJoin(b).where("a <> b").select("a", dx.alias("dx"), dy.alias("dy"), d.alias("d")).where("d > 0")
-        push = F.lit(ks) / (F.col("d") * F.col("d")) - F.col("d") / F.lit(area)
-        away = pairs.select("a", (F.col("dx") / F.col("d") * push).alias("fx"), (F.col("dy") / F.col("d") * push).alias("fy"))
-        near = e.join(a, "a").join(b, "b").select("a", dx.alias("dx"), dy.alias("dy"), d.alias("d"))
-        toward = near.select("a", (-F.col("dx") * F.col("d") / F.lit(k)).alias("fx"), (-F.col("dy") * F.col("d") / F.lit(k)).alias("fy"))
-        force = away.union(toward).groupBy("a").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+        toward = e.join(a, "a").join(b, "b").select("a", (-dx * d / F.lit(k)).alias("fx"), (-dy * d / F.lit(k)).alias("fy"))
+        force = repulsion(now, n, area).union(toward).groupBy("a").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
         size = F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy"))
         scale = F.when(size > cap, F.lit(cap) / size).otherwise(F.lit(1.0))
         moved = now.join(force.withColumnRenamed("a", "v"), "v", "left").select("v", (F.col("x") + F.coalesce(F.col("fx") * scale, F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce(F.col("fy") * scale, F.lit(0.0))).alias("y"))

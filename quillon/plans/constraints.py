@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ def check_pattern(pattern: str) -> None:
         return
     try:
         sc._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as e:
-        raise ValueError(f"{pattern!r} is no regular expression: {e.java_exception.getMessage()}") from None
+    except (Py4JJavaError, IllegalArgumentException) as e:
+        raise ValueError(f"{pattern!r} is no regular expression: {str(e).splitlines()[0]}") from None
 
 
 def milliseconds(literal: str) -> int:

@@ -75,3 +75,13 @@ def test_keywords(spark):
     rows = spark.createDataFrame([(k,) for k in ("#a", "#ab", "#abc", "#x")], "key string")
     hits = lambda t: {r.key for r in rows.where(keyword(F.col("key"), t)).collect()}
     assert hits("#A, #x") == {"#a", "#x"} and hits("#a*") == {"#a", "#ab", "#abc"} and hits("#a?") == {"#a", "#ab"} and hits(" , ") == set()
+
+
+def test_patterns_match_whole_values(spark):
+    """Not short of a last newline; Java's patterns, whatever Python makes of them."""
+    keys = spark.createDataFrame([("abc",), ("abc\n",), ("Xé",)], "rowkey string")
+    assert [r[0] for r in CellQuery.of("rowkey:<abc>").run(keys).collect()] == ["abc"]
+    assert [r[0] for r in CellQuery.of(r"rowkey:<\P{Ll}\p{L}>").run(keys).collect()] == ["Xé"]
+    with pytest.raises(ValueError):
+        CellQuery.of("rowkey:<(>")
+

@@ -175,3 +175,33 @@ def test_newest(spark):
     assert [r.post_id for r in lookup.newest(t, 3).collect()] == [5, 2, 4]
     assert rows(lookup.ranked(t.select("key", "post_id"), [F.col("key")], [F.col("post_id").desc()], 2).select("post_id")) == [(4,), (5,)]
     assert rows(lookup.latest_per_key(t, "key", "ts", "user_id")) == [("a", 1)]
+
+
+def test_repulsion_by_cells_is_close_to_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    at = rng.uniform(-1, 1, (900, 2))
+    now = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "v long, x double, y double")
+
+    def total(exact):
+        got = np.zeros((900, 2))
+        for r in graph.repulsion(now, 900, 900.0, exact, 144).groupBy("a").agg(F.sum("fx").alias("x"), F.sum("fy").alias("y")).collect():
+            got[r.a] = r.x, r.y
+        return got
+
+    whole, cells = total(900), total(0)
+    far = np.linalg.norm(whole - cells, axis=1) / np.linalg.norm(whole, axis=1)
+    assert np.median(far) < 0.02 and np.quantile(far, 0.95) < 0.15
+
+
+def test_halved_by_loop(spark):
+    t = spark.range(301).select(F.col("id"), (F.col("id") * 7 % 41).alias("w"))
+    want = {i: 0 for i in range(301)}
+    for _ in range(3):
+        fresh = {}
+        for p in set(want.values()):
+            for k, i in enumerate(sorted((i for i in want if want[i] == p), key=lambda i: (-(i * 7 % 41), i))):
+                fresh[i] = 2 * p + (k % 4 if k % 4 < 2 else 3 - k % 4)
+        want = fresh
+    assert {r.id: r.part for r in sets.halved(t, "w", "id", 3).collect()} == want

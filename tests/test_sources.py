@@ -5,6 +5,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from quillon.operators import lookup
 from quillon.plans import index
 from quillon.sources import books, files, posts, web
 from quillon.store import COMMANDS, Store, run
@@ -189,3 +190,48 @@ def test_books(spark, tmp_path):
     (tmp_path / "bib.xml").write_text("<all><Bibliography><Title>On x</Title><Authors>N/A</Authors><ISBN>5</ISBN></Bibliography></all>")
     lines = books.triples(books.read_bibliography(spark, str(tmp_path / "bib.xml")).withColumn("no", F.lit(1)), "no")
     assert rows(books.read_triples(lines)) == [("1", "ISBN", "5"), ("1", "Title", "On x")]
+
+
+def test_loads_are_sorted_and_repeatable(spark, tmp_path):
+    """A load of a name that is there takes its place; a key look-up reads few of an index's files and pushes its key."""
+    from pyspark.sql import Window
+
+    from quillon import load_queries
+
+    store, json = load_queries.loaded(spark, "/root/testdata/sf0.001")
+    folder = str(tmp_path / "again")
+    for _ in range(2):
+        posts.ingest(posts.read_json(spark, json), folder, "batch-0")
+    again = Store(spark, folder)
+    assert set(again.tables()) == set(store.tables()) == {"posts", "users", "index_memes", "index_text", "index_places", "index_names", "index_reshares"}
+    for name in again.tables():
+        assert again.table(name).count() == store.table(name).count()
+    memes = again.table("index_memes")
+    ranges = memes.groupBy("month", F.col("_metadata.file_path").alias("file")).agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    assert ranges.where("b < a").isEmpty()
+    later = ranges.withColumn("next", F.lead("a").over(Window.partitionBy("month").orderBy("a")))
+    assert later.where("next < b").isEmpty()
+    plan = again.ids("meme", "#click", "2024-01-05", "2024-01-06")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key,#click)" in plan and "month" in plan.split("PartitionFilters")[1]
+    # a phrase goes by the postings of its inner words
+    phrase = again.ids("phrase", "near the old tower at")
+    assert {r.post_id for r in phrase.collect()} == {r.post_id for r in again.table("posts").where("contains(lower(text), 'near the old tower at')").collect()}
+    assert "index_text" in phrase._jdf.queryExecution().executedPlan().toString()
+    assert lookup.inner_words("ears the Old-mill 12 near #x bridge s") == ["bridge", "near"]
+
+
+def test_broken_members_are_passed_over(spark, tmp_path):
+    raw = WARC.replace("{n}", "4").replace("{body}", "body").encode()
+    good, bad = gzip.compress(raw), bytearray(gzip.compress(raw * 50))
+    bad[len(bad) // 2] ^= 0xFF
+    (tmp_path / "a.warc.gz").write_bytes(good + bytes(bad) + good + good)
+    found = web.read_archive(spark, str(tmp_path)).collect()
+    assert [r.kind for r in found][:2] == ["warcinfo", "response"] and [r.kind for r in found][-4:] == ["warcinfo", "response"] * 2 and len(found) >= 6
+    assert [r.position for r in found] == list(range(len(found)))
+
+
+@pytest.mark.parametrize(("link", "want"), [("b.html", "http://a.com/x/b.html"), ("../c?q=1", "http://a.com/c?q=1"), ("./d/./e", "http://a.com/x/d/e"), ("//Other.org/z", "http://other.org/z"), ("/r", "http://a.com/r"), ("?p=2", "http://a.com/x/y.html?p=2"), ("../../../up", "http://a.com/up"), ("mailto:a@b.c", None), ("https://B.org", "https://b.org/"), ("#top", "http://a.com/x/y.html"), ("d/..", "http://a.com/x/")])
+def test_links_are_resolved(spark, link, want):
+    row = spark.createDataFrame([("http://a.com/x/y.html?s=1#f", link)], "base string, link string")
+    assert row.select(web.normal_url(web.resolve(F.col("base"), F.col("link")))).first()[0] == want
+
