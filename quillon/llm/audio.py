@@ -44,7 +44,8 @@ SCHEMA = "doc_id long, segment int, window int, start_s double, end_s double, n_
 def read_aloud(text: Column, lines: int = 8, pause: int = 400) -> Column:
     """A text whose bytes, as samples, fall silent after every so many lines: for so many samples comes U+007F, which lies next to
     the zero of 8-bit samples."""
-    return F.regexp_replace(text, rf"((?:[^\n]*\n){{{lines}}})", "$1" + "\x7f" * pause)
+    # \G: each match begins where the one before ended, so that what has too few lines is looked at once
+    return F.regexp_replace(text, rf"\G((?:[^\n]*+\n){{{lines}}})", "$1" + "\x7f" * pause)
 
 
 def wav(text: Column, rate: int = 8000) -> Column:
