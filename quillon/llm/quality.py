@@ -6,7 +6,7 @@ and the mean chunk value of each filter feed a small dense layer and one logisti
 the text is worth keeping.  Filters are tables over bytes (a convolution of one-hot bytes); they begin at short
 byte strings that tell rejected from accepted training texts apart, and all weights are learned by Adam.
 
-Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, ids that hash least).  A label is
+Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, ids that hash least, ``SPAN`` characters of each at most).  A label is
 "reject" when quality is 0 or toxic is 1.  Short pieces of accepted training texts join them as accepted ones, so
 that brevity alone is no fault.
 
@@ -33,8 +33,11 @@ WIDTH, FILTERS, BLOCK, HIDDEN = 6, 48, 512, 16
 #: Labelled rows of each class (the bound of the training sample), passes over them, steps at least (a small sample gets more
 #: passes), and the least probability of an accepted text.
 SAMPLE, EPOCHS, STEPS, THRESHOLD, SEED = 1500, 18, 500, 0.75, 7
+#: Characters of a training text; of a longer one a span of that length is learned from, at a place that hangs on its id.  Scores
+#: are always of whole texts.
+SPAN = 1 << 17
 #: Threads of the driver that training takes.
-THREADS = 8
+THREADS = 4
 #: Bytes that are convolved at once: blocks that fit a processor's cache.
 LOT = 64 * BLOCK
 
@@ -302,7 +305,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen |= {r.id: side for r in verdict.where(F.col("reject") == side).orderBy(F.xxhash64("id"), "id").limit(sample).collect()}
     if len(set(chosen.values())) < 2:
         return None
-    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text <> ''").distinct().collect()
+    size, at = F.length(text_col), F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.length(text_col) - SPAN, F.lit(1)))
+    text = F.when(size > SPAN, F.substring(F.col(text_col), at.cast("int") + 1, F.lit(SPAN))).otherwise(F.col(text_col))
+    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("text <> ''").distinct().collect()
     rows.sort(key=lambda r: (r.id, r.text))
     reject = np.array([chosen[r.id] for r in rows], bool)
     texts = [r.text.encode() for r in rows]
