@@ -56,23 +56,25 @@ def any_term(docs: DataFrame, wanted: list[str], columns: list[str], text_col: s
 
 
 def neighbours(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(t1, t2, n): how often each term has the next one behind it, t2 being null at a document's end: arrays zipped with themselves,
-    no window; the counts are summed before their shuffle."""
+    """(t1, t2, forward, backward), t1 not behind t2 as text: how often t1 has t2 behind it, and the other way about.  A term behind
+    itself, and one at a document's end, count forward with t2 = t1.  Arrays zipped with themselves, no window; one shuffle."""
     kept = docs.select(analyze(F.col(text_col), stop_words, drop_numbers=True).alias("ts"))
     shifted = F.arrays_zip(F.col("ts").alias("a"), F.slice("ts", 2, F.size("ts")).alias("b"))
-    return kept.select(F.explode(shifted).alias("p")).groupBy(F.col("p.a").alias("t1"), F.col("p.b").alias("t2")).agg(F.count("*").alias("n"))
+    rows = kept.select(F.explode(shifted).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    back = F.coalesce(F.col("a") > F.col("b"), F.lit(False)).cast("int").alias("back")
+    ordered = rows.select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2"), back)
+    return ordered.groupBy("t1", "t2").agg(F.sum(F.lit(1) - F.col("back")).alias("forward"), F.sum("back").alias("backward"))
 
 
 def pair_frequencies(pairs: DataFrame) -> DataFrame:
-    """(t1, t2, forward, backward) of neighbours, t1 before t2 as text: how often each follows the other; only pairs seen both ways."""
-    ahead = F.col("t1") < F.col("t2")
-    rows = pairs.where("t1 <> t2").select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), F.when(ahead, F.col("n")).otherwise(0).alias("f"), F.when(ahead, 0).otherwise(F.col("n")).alias("b"))
-    return rows.groupBy("t1", "t2").agg(F.sum("f").alias("forward"), F.sum("b").alias("backward")).where("forward > 0 and backward > 0")
+    """(t1, t2, forward, backward) of the neighbours that are seen both ways."""
+    return pairs.where("t1 <> t2 and forward > 0 and backward > 0")
 
 
 def hits_of_neighbours(pairs: DataFrame, more_than: int = 1) -> DataFrame:
-    """(term, hits) as term_hits gives them, from the neighbours that are counted already."""
-    return pairs.groupBy(F.col("t1").alias("term")).agg(F.sum("n").alias("hits")).where(F.col("hits") > more_than)
+    """(term, hits) as term_hits gives them, from the neighbours that are counted already: each occurrence is the first of one pair."""
+    first = F.explode(F.array(F.struct(F.col("t1").alias("term"), F.col("forward").alias("n")), F.struct(F.col("t2").alias("term"), F.col("backward").alias("n"))))
+    return pairs.select(first.alias("p")).groupBy("p.term").agg(F.sum("p.n").alias("hits")).where(F.col("hits") > more_than)
 
 
 def synonyms(pairs: DataFrame, hits: DataFrame, threshold: float = 1e-6) -> DataFrame:
