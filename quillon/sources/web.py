@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,25 +17,60 @@ from quillon.functions.text import html_to_text
 RECORD = "path string, position bigint, kind string, uri string, trec_id string, headers map<string,string>, content binary"
 
 
+#: Bytes of a file that are sent at once, that one look takes, and that are kept behind it.
+PIECE, LOOK, BEHIND = 4 << 20, 1 << 16, 1 << 18
+
+
+class Pieces:
+    """A file that comes piece by piece; only what lies near the last look is held."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.start, self.done = pieces, b"", 0, False
+        self.packed = self.look(0, 2) == b"\x1f\x8b"
+
+    def look(self, at: int, n: int = LOOK) -> bytes:
+        while at + n > self.start + len(self.held) and not self.done:
+            piece = next(self.pieces, None)
+            if piece is None:
+                self.done = True
+                break
+            keep = max(0, min(at, self.start + len(self.held)) - BEHIND - self.start)
+            self.held, self.start = self.held[keep:] + piece, self.start + keep
+        return self.held[at - self.start : at - self.start + n]
+
+    def find(self, what: bytes, at: int) -> int:
+        """Where it begins, from a place on; -1 if it doesn't come."""
+        while part := self.look(at, LOOK + len(what)):
+            if (found := part.find(what)) >= 0:
+                return at + found
+            if len(part) < LOOK + len(what):
+                return -1
+            at += LOOK
+        return -1
+
+
 class Members(io.RawIOBase):
     """The bytes of a gzip file of one or more members, or of a plain one, whatever its name, from a place on.  ``broken`` tells
     where a member that can't be read to its end lies."""
 
-    def __init__(self, raw: bytes, at: int = 0) -> None:
+    def __init__(self, raw: Pieces, at: int = 0) -> None:
         self.raw, self.at, self.ready, self.broken = raw, at, b"", -1
-        self.unzip = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
+        self.unzip = zlib.decompressobj(31) if raw.packed else None
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, buffer) -> int:  # noqa: ANN001
-        while not self.ready and self.broken < 0 and (self.at < len(self.raw) or (self.unzip and self.unzip.unconsumed_tail)):
+        while not self.ready and self.broken < 0:
+            tail = self.unzip.unconsumed_tail if self.unzip else b""
+            part = tail or self.raw.look(self.at)
+            if not part:
+                break
+            begin = self.at - len(tail)
+            self.at += 0 if tail else len(part)
             if self.unzip is None:
-                self.ready, self.at = self.raw[self.at : self.at + (1 << 16)], self.at + (1 << 16)
+                self.ready = part
                 continue
-            part = self.unzip.unconsumed_tail or self.raw[self.at : self.at + (1 << 16)]
-            begin = self.at - len(self.unzip.unconsumed_tail)
-            self.at += 0 if self.unzip.unconsumed_tail else len(part)
             try:
                 self.ready = self.unzip.decompress(part, 1 << 20)
             except zlib.error:
@@ -47,7 +84,7 @@ class Members(io.RawIOBase):
         return n
 
 
-def streams(raw: bytes) -> Iterator[io.BufferedReader]:
+def streams(raw: Pieces) -> Iterator[io.BufferedReader]:
     """What can be read of a file: one stream, or, behind each broken member, another that begins with the next that can be read."""
     at = 0
     while at >= 0:
@@ -56,11 +93,11 @@ def streams(raw: bytes) -> Iterator[io.BufferedReader]:
         at = raw.find(b"\x1f\x8b\x08", members.broken + 1) if members.broken >= 0 else -1
 
 
-def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(number, headers, content) of each record of an archive.  Header names are in lower case; what stands before a
     record's first line is passed over; a record without a length is empty, one that is cut off isn't given."""
     number = 0
-    for stream in streams(raw):
+    for stream in streams(Pieces(pieces)):
         for headers, content in records_of(stream):
             yield number, headers, content
             number += 1
@@ -84,30 +121,35 @@ def records_of(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], byte
             size = 0
         content = stream.read(size)
         if len(content) < size:
-            stream.read()  # to the end, so that what is broken is known
+            while stream.read(LOOK):  # to the end, so that what is broken is known
+                pass
             return
         yield headers, content
 
 
 def read_archive(spark: SparkSession, path: str, pattern: str = "*.warc*") -> DataFrame:
-    """Records of all archives under a path, a file a task; records leave it in small batches."""
+    """Records of all archives under a path, a file a task; files come to Python in pieces, and records leave it in small batches, so that
+    it holds a few MB and one record at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    last = F.floor((F.octet_length("content") - 1) / PIECE).cast("int")
+    numbered = files.where(F.octet_length("content") > 0).select("path", "content", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    pieces = numbered.select("path", F.expr(f"substring(content, i * {PIECE} + 1, {PIECE})").alias("piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("position", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("trec_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("content", pa.binary())])
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, size = [], 0
-                for number, headers, content in records(raw.as_py()):
-                    rows.append({"path": name, "position": number, "kind": headers.get("warc-type"), "uri": headers.get("warc-target-uri"), "trec_id": headers.get("warc-trec-id"), "headers": list(headers.items()), "content": content})
-                    size += len(content)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, size = [], 0
-                if rows:
+        each = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for batch in batches for i in range(batch.num_rows))
+        for name, parts in groupby(each, key=itemgetter(0)):
+            rows, size = [], 0
+            for number, headers, content in records(piece for _, piece in parts):
+                rows.append({"path": name, "position": number, "kind": headers.get("warc-type"), "uri": headers.get("warc-target-uri"), "trec_id": headers.get("warc-trec-id"), "headers": list(headers.items()), "content": content})
+                size += len(content)
+                if size > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.mapInArrow(run, RECORD)
+    return pieces.mapInArrow(run, RECORD)
 
 
 def document_number(trec_id: Column) -> Column:

@@ -235,3 +235,51 @@ def test_links_are_resolved(spark, link, want):
     row = spark.createDataFrame([("http://a.com/x/y.html?s=1#f", link)], "base string, link string")
     assert row.select(web.normal_url(web.resolve(F.col("base"), F.col("link")))).first()[0] == want
 
+
+
+def test_a_load_parses_once_and_divides_the_rows_of_a_key(spark, tmp_path):
+    lines = [(f'{{"id": {i}, "text": "common word{i % 3}", "created_at": "Mon Jan 01 00:00:00 +0000 2024", "user": {{"id": {i}, "screen_name": "u"}}, "retweeted_status": {{"id": {5000 + i % 7}}}}}',) for i in range(400)]
+    spark.createDataFrame(lines, "value string").write.text(f"{tmp_path}/json")
+    raw = posts.read_json(spark, f"{tmp_path}/json")
+    assert posts.flatten(raw)._jdf.queryExecution().simpleString().count("FileScan json") == 1
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        posts.ingest(raw, f"{tmp_path}/store", "one")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before["spark.sql.adaptive.coalescePartitions.enabled"])
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before["spark.sql.shuffle.partitions"]
+    assert spark.read.parquet(f"{tmp_path}/store/posts").count() == 407
+    text = spark.read.parquet(f"{tmp_path}/store/index_text").where("key = 'common'")
+    assert text.count() == 400 and text.select("_metadata.file_path").distinct().count() > 1
+
+
+def test_bounds_count_a_key_before_they_sort(spark, tmp_path):
+    posts.save({"index_x": spark.createDataFrame([(f"k{i % 20:02}", i) for i in range(500)], "key string, post_id long")}, str(tmp_path))
+    found = Store(spark, str(tmp_path)).bounds("index_x", "key", 4)
+    assert "keys=[part#" in (plan := found._jdf.queryExecution().toString()) and plan.count("HashAggregate") >= 2
+    parts = sorted((r["first"], r["last"], r.n) for r in found.collect())
+    assert sum(n for *_, n in parts) == 500 and all(a[1] < b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_come_in_pieces(packed):
+    """A file of 20 MB, of which no more than a piece and what lies around it is held."""
+    import random
+
+    body = random.Random(1).randbytes(50_000).hex()
+    raw = WARC.replace("{n}", str(len(body))).replace("{body}", body).encode()
+    whole = (gzip.compress(raw, 1) if packed else raw) * 200
+    held = []
+
+    def pieces():
+        for at in range(0, len(whole), 1 << 17):
+            held.append(len(source.held))
+            yield whole[at : at + (1 << 17)]
+
+    source = web.Pieces.__new__(web.Pieces)
+    source.held = b""
+    source.__init__(pieces())
+    found = [len(content) for stream in web.streams(source) for _, content in web.records_of(stream)]
+    assert found.count(len(body)) == 200 and max(held) < 1 << 20
+    assert web.Pieces(iter([b"ab", b"", b"cd"])).find(b"bc", 0) == 1
