@@ -283,3 +283,23 @@ def test_archives_come_in_pieces(packed):
     found = [len(content) for stream in web.streams(source) for _, content in web.records_of(stream)]
     assert found.count(len(body)) == 200 and max(held) < 1 << 20
     assert web.Pieces(iter([b"ab", b"", b"cd"])).find(b"bc", 0) == 1
+
+
+def test_tables_are_created_without_a_load(spark, sf, monkeypatch):
+    from quillon import load_queries
+
+    def none(*_):
+        raise AssertionError("loaded")
+
+    monkeypatch.setattr(load_queries, "store_of", none)
+    assert rows(load_queries.created_tables(spark, sf)) == [("index_memes", 0, "2024-01,2024-02"), ("posts", 0, "2024-01,2024-02")]
+
+
+def test_a_folder_is_followed_without_another_load(spark, sf, monkeypatch):
+    from quillon import load_queries
+
+    def none(*_):
+        raise AssertionError("loaded")
+
+    monkeypatch.setattr(load_queries, "store_of", none)
+    assert load_queries.followed_posts(spark, sf).count() > 1000
