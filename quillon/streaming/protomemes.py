@@ -35,32 +35,34 @@ def markers(without: tuple[str, ...] = ()) -> Column:
 
 
 def contacts(rows: DataFrame, step: Column) -> DataFrame:
-    """(step, user, other): whom a user mentions or reshares within a step, and who mentions or reshares the user."""
-    others = F.explode(F.array_compact(F.array_append("mentions", F.col("reshared_user"))))
-    ahead = rows.select(step.alias("step"), F.col("user_id").cast("string").alias("user"), others.alias("other")).where("user is not null").distinct()
-    return ahead.union(ahead.select("step", "other", "user")).distinct()
+    """(step, user, others): whom a user mentions or reshares within a step, and who mentions or reshares the user."""
+    ahead = rows.select(step.alias("step"), F.col("user_id").cast("string").alias("user"), F.explode(F.array_compact(F.array_append("mentions", F.col("reshared_user")))).alias("other")).where("user is not null")
+    both = ahead.select("step", F.explode(F.array(F.struct("user", "other"), F.struct(F.col("other").alias("user"), F.col("user").alias("other")))).alias("p"))
+    return both.groupBy("step", "p.user").agg(F.collect_set("p.other").alias("others"))
 
 
 def protomemes(rows: DataFrame, step_seconds: int = 30, without: tuple[str, ...] = ()) -> DataFrame:
     """Protomemes of rows with features, as SCHEMA; diffusion is who wrote of the marker, whom they mention and reshare in that
     step, and who mentions and reshares them, in whatever post.
 
-    Users and words are counted in a first aggregate by (marker, kind, value), and gathered into maps in a second; both
-    combine before their shuffle."""
+    Posts meet the contacts of their users before their markers are told apart, so that what is shuffled has a row a post.  One
+    aggregate by (marker, user) then tells who wrote how often, and none for those who were only met; words are counted by
+    marker before their shuffle."""
     step = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(step_seconds)).cast("long")
-    each = rows.select(step.alias("step"), F.explode(markers(without)).alias("m"), "post_id", F.col("user_id").cast("string").alias("user"), "words", "mentions", F.col("ts").cast("timestamp").alias("ts"))
-    each = each.select("step", "m.type", "m.marker", "post_id", "user", "words", "mentions", "ts")
     keys = ["step", "type", "marker"]
-    whole = each.groupBy(*keys).agg(F.array_sort(F.collect_set("post_id")).alias("posts"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
-    parts = F.concat(F.array(F.struct(F.lit("u").alias("k"), F.col("user").alias("v"))), F.transform("words", lambda w: F.struct(F.lit("w").alias("k"), w.alias("v"))))
-    counted = each.select(*keys, F.explode(parts).alias("p")).groupBy(*keys, "p.k", "p.v").agg(F.count("*").alias("n"))
-    entries = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("v", "n")))))
-    maps = counted.groupBy(*keys).agg(entries("u").alias("users"), entries("w").alias("words"))
-    writers = each.where("user is not null").select(*keys, "user").distinct()
-    reached = writers.join(contacts(rows, step), ["step", "user"]).select(*keys, F.col("other").alias("user"))
-    diffusion = writers.unionByName(reached).groupBy(*keys).agg(F.array_sort(F.collect_set("user")).alias("diffusion"))
-    none = F.array().cast("array<string>")
-    return whole.join(maps, keys).join(diffusion, keys, "left").withColumn("diffusion", F.coalesce("diffusion", none)).select(*keys, "posts", "users", "words", "diffusion", "earliest", "latest")
+    marked = rows.select(step.alias("step"), markers(without).alias("ms"), "post_id", F.col("user_id").cast("string").alias("user"), "words", F.col("ts").cast("timestamp").alias("ts"))
+    told = lambda table, *columns: table.select("step", F.explode("ms").alias("m"), *columns).select("step", "m.type", "m.marker", *columns)
+    whole = told(marked, "post_id", "ts").groupBy(*keys).agg(F.sort_array(F.collect_set("post_id")).alias("posts"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+    counted = told(marked, "words").select(*keys, F.explode("words").alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("n"))
+    words = counted.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", "n")))).alias("words"))
+    met = marked.where("user is not null").select("step", "ms", "user").join(contacts(rows, step), ["step", "user"], "left")
+    who = F.concat(F.array(F.struct("user", F.lit(1).alias("n"))), F.coalesce(F.transform("others", lambda u: F.struct(u.alias("user"), F.lit(0).alias("n"))), F.array().cast("array<struct<user:string,n:int>>")))
+    seen = told(met.withColumn("who", who), "who").select(*keys, F.explode("who").alias("w")).groupBy(*keys, "w.user").agg(F.sum("w.n").alias("n"))
+    people = seen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("user", "n"))).alias("l"))
+    people = people.select(*keys, F.map_from_entries(F.filter("l", lambda u: u["n"] > 0)).alias("users"), F.col("l.user").alias("diffusion"))
+    none, nothing = F.array().cast("array<string>"), F.create_map().cast("map<string,bigint>")
+    found = whole.join(words, keys, "left").join(people, keys, "left")
+    return found.select(*keys, "posts", *(F.coalesce(c, nothing).alias(c) for c in ("users", "words")), F.coalesce("diffusion", none).alias("diffusion"), "earliest", "latest")
 
 
 def late(rows: DataFrame, window_start: int) -> DataFrame:

@@ -230,3 +230,31 @@ def test_clusters_of_a_table_leave_its_vectors_there(spark, monkeypatch):
     monkeypatch.setattr(clustering, "vectors", none)
     assert rows(clustering.cluster_all(table, k=5, steps=3, per_batch=2)) == sorted(state.members(), key=repr)
     assert clustering.cluster_all(table.limit(0)).count() == 0
+
+
+def test_protomemes_by_loops(spark):
+    """Against loops over random posts, some without a user."""
+    r = random.Random(4)
+    data = []
+    for i in range(120):
+        names = r.sample("abcde", r.randint(0, 2))
+        words = r.choices("vwxyz", k=r.randint(0, 3))
+        data.append((i, r.choice([None, 1, 2, 3, 4]), r.randint(0, 2) * 60, r.sample(["p", "q"], r.randint(0, 2)), [str(r.randint(1, 6)) for _ in names], [], words, "", r.choice([None, "2", "9"])))
+    table = spark.createDataFrame(data, "post_id long, user_id long, s long, hashtags array<string>, mentions array<string>, urls array<string>, words array<string>, phrase string, reshared_user string").withColumn("ts", F.timestamp_seconds("s"))
+    met, want = {}, {}
+    for _, u, s, _, names, _, _, _, other in data:
+        for o in [*names, *([other] if other else [])]:
+            if u is not None:
+                met.setdefault((s // 60, str(u)), set()).add(o)
+                met.setdefault((s // 60, o), set()).add(str(u))
+    for i, u, s, tags, names, _, words, _, _ in data:
+        for key in {(s // 60, "hashtag", t) for t in tags} | {(s // 60, "mention", n) for n in names}:
+            p = want.setdefault(key, (set(), {}, {}, set()))
+            p[0].add(i)
+            for w in words:
+                p[2][w] = p[2].get(w, 0) + 1
+            if u is not None:
+                p[1][str(u)] = p[1].get(str(u), 0) + 1
+                p[3].update({str(u)} | met.get((key[0], str(u)), set()))
+    got = protomemes.protomemes(table, 60).collect()
+    assert {(p.step, p.type, p.marker): (set(p.posts), p.users, p.words, set(p.diffusion)) for p in got} == want and all(p.diffusion == sorted(p.diffusion) and p.posts == sorted(p.posts) for p in got)
