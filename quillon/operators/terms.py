@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import STOP_WORDS, TOKEN, analyze, whole_word
+from quillon.operators import postings
 
 
 def term_stats(frequencies: DataFrame) -> DataFrame:
@@ -55,15 +56,16 @@ def any_term(docs: DataFrame, wanted: list[str], columns: list[str], text_col: s
     return docs.where(F.arrays_overlap(analyze(F.col(text_col), stop_words), F.array(*map(F.lit, wanted)))).select(*columns)
 
 
-def neighbours(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+def neighbours(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS, both_ways: bool = False) -> DataFrame:
     """(t1, t2, forward, backward), t1 not behind t2 as text: how often t1 has t2 behind it, and the other way about.  A term behind
-    itself, and one at a document's end, count forward with t2 = t1.  Arrays zipped with themselves, no window; one shuffle."""
-    kept = docs.select(analyze(F.col(text_col), stop_words, drop_numbers=True).alias("ts"))
-    shifted = F.arrays_zip(F.col("ts").alias("a"), F.slice("ts", 2, F.size("ts")).alias("b"))
-    rows = kept.select(F.explode(shifted).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    back = F.coalesce(F.col("a") > F.col("b"), F.lit(False)).cast("int").alias("back")
-    ordered = rows.select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2"), back)
-    return ordered.groupBy("t1", "t2").agg(F.sum(F.lit(1) - F.col("back")).alias("forward"), F.sum("back").alias("backward"))
+    itself, and one at a document's end, count forward with t2 = t1.  both_ways leaves out what is seen one way only, where it is
+    summed.  Counted in pieces of documents before the one shuffle."""
+    return postings.pair_counts(docs, text_col, stop_words, both_ways)
+
+
+def counts_in_pieces(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(term, freq) of pieces of documents, as term_hits sums them."""
+    return postings.term_counts(docs, text_col, stop_words)
 
 
 def pair_frequencies(pairs: DataFrame) -> DataFrame:
@@ -71,12 +73,6 @@ def pair_frequencies(pairs: DataFrame) -> DataFrame:
     return pairs.where("t1 <> t2 and forward > 0 and backward > 0")
 
 
-def hits_of_neighbours(pairs: DataFrame, more_than: int = 1) -> DataFrame:
-    """(term, hits) as term_hits gives them, from the neighbours that are counted already: each occurrence is the first of one pair."""
-    first = F.explode(F.array(F.struct(F.col("t1").alias("term"), F.col("forward").alias("n")), F.struct(F.col("t2").alias("term"), F.col("backward").alias("n"))))
-    return pairs.select(first.alias("p")).groupBy("p.term").agg(F.sum("p.n").alias("hits")).where(F.col("hits") > more_than)
-
-
 def synonyms(pairs: DataFrame, hits: DataFrame, threshold: float = 1e-6) -> DataFrame:
     """(t1, t2, plus, min_score, p, forward, backward, c1, c2): plus = (f + b) / (c1 c2), min_score = min(f, b) / (c1 c2), p = max / min.
 
